@@ -222,6 +222,26 @@ def _tree_sum(features: list[Column]) -> Column:
 
 
 
+def _validator(kind: str):
+    return lambda x: _valid(kind, x["m"])
+
+
+def _rater(text: str, kind: str):
+    def rate(x: Column) -> Column:
+        before = F.substring(F.col(text), F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(*_features(x, before, kind)).alias("v"))
+
+    return rate
+
+
+def _selector(cut: float):
+    return lambda x: _tree_sum([F.get(x["v"], j) for j in range(len(FEATURES))]) >= cut
+
+
+def _tagger(kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(kind).alias("kind"))
+
+
 def spans_of(docs: DataFrame, text: str) -> DataFrame:
     """docs with one array of (start, end) a kind: `_base_<kind>` and `_more_<kind>`."""
     patterns = [("email", None, EMAIL), ("ip", r"[0-9]\.[0-9]", IP), ("card", r"[0-9](?:[\x20-]?[0-9]){15}", CARD), ("phone", None, PHONE)]
@@ -235,12 +255,10 @@ def spans_of(docs: DataFrame, text: str) -> DataFrame:
     docs = docs.withColumns({f"_f{i}": find(text, c, p, f"_m{i}") for i, (_, c, p) in enumerate(every)}).drop(*found)
     cuts = dict(trees()[1])
     bare = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
-    out = {f"_base_{kind}": F.transform(F.filter(f"_f{i}", lambda x, k=kind: _valid(k, x["m"])), bare) for i, (kind, _, _) in enumerate(patterns)}
+    out = {f"_base_{kind}": F.transform(F.filter(f"_f{i}", _validator(kind)), bare) for i, (kind, _, _) in enumerate(patterns)}
     more: dict[str, list[Column]] = {}
     for i, (kind, _, _) in list(enumerate(every))[len(patterns) :]:
-        before = lambda x: F.substring(F.col(text), F.greatest(x["start"] - 23, F.lit(1)), F.least(x["start"], F.lit(24)))
-        rated = F.transform(f"_f{i}", lambda x, k=kind: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.array(*_features(x, before(x), k)).alias("v")))
-        kept = F.filter(rated, lambda x, k=kind: _tree_sum([F.get(x["v"], j) for j in range(len(FEATURES))]) >= cuts[k])
+        kept = F.filter(F.transform(f"_f{i}", _rater(text, kind)), _selector(cuts[kind]))
         more.setdefault(kind, []).append(F.transform(kept, bare))
     out |= {f"_more_{kind}": F.array_distinct(F.concat(*parts)) for kind, parts in more.items()}
     return docs.withColumns(out).drop(*(f"_f{i}" for i in range(len(every))))
@@ -272,7 +290,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in capitals and angle brackets (overlapping spans become one), n_chars adjusted."""
     names = docs.columns
     rows = spans_of(docs.withColumn("_text", F.col("text").cast("string")), "_text")
-    tagged = F.array_sort(F.concat(*(F.transform(_all_of(k), lambda s, k=k: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), F.lit(k).alias("kind"))) for k in KINDS)))
+    tagged = F.array_sort(F.concat(*(F.transform(_all_of(k), _tagger(k)) for k in KINDS)))
     rows = rows.withColumn("_all", F.coalesce(tagged, F.array().cast("array<struct<start:int,end:int,kind:string>>")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("_text")
