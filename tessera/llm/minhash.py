@@ -65,7 +65,7 @@ def super_minhash(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarra
         perm = np.tile(np.arange(size, dtype=np.uint8 if size <= 256 else np.uint16), (len(elements), 1))
         rows = np.arange(len(elements))
         for j in range(size):
-    XX
+            z = mix64(elements + np.uint64((int(GOLDEN) * (j + 1)) & 0xFFFFFFFFFFFFFFFF))
             k = ((z & _LOW) * np.uint64(size - j) >> _SHIFT).astype(np.int64) + j
             place = perm[rows, k]
             perm[rows, k] = perm[rows, j]
