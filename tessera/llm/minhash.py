@@ -26,7 +26,14 @@ from pyspark.sql import functions as F
 
 from .common import GOLDEN, gram_hashes, materialize, mix64, slices, texts_as_bytes, word_hashes
 
-BANDS, ROWS = 30, 4
+#: Bands and rows by threshold: at the threshold a pair misses every band with a chance below 1e-6.
+def banding(percent: int) -> tuple[int, int]:
+    rows = 6 if percent >= 85 else 5 if percent >= 80 else 4
+    return math.ceil(math.log(7e-7) / math.log(1 - (percent / 100) ** rows)), rows
+
+
+MARKS = 64  # signature positions (a byte of each) that are compared before full sets are
+BROADCAST_IDS = 300_000
 _BLOCK = 8192
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
@@ -40,7 +47,7 @@ def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     return np.unique(gram_hashes(word_hashes(words), min(width, len(words))))
 
 
-def super_minhash(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
+def super_minhash(sets: list[np.ndarray], size: int = 128) -> np.ndarray:
     """SuperMinHash signatures, one row per set: rank in the high 32 bits, fraction in the low ones.
 
     Every element walks its own random permutation of the positions (Fisher-Yates); at rank j it offers j plus a
@@ -79,7 +86,7 @@ def super_minhash(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarra
     return out
 
 
-def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     n = len(signatures)
     key = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * GOLDEN, (n, 1))
     cells = signatures[:, : bands * rows].reshape(n, bands, rows)
@@ -103,7 +110,7 @@ def _fingerprint(width: int, bands: int, rows: int):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(d1, pa.int64()),
                         pa.array(d2, pa.int64()),
-                        pa.array([x.tobytes() for x in (signs & np.uint64(0xFF)).astype(np.uint8)], pa.binary()),
+                        pa.array([x.tobytes() for x in (signs[:, :MARKS] & np.uint64(0xFF)).astype(np.uint8)], pa.binary()),
                         pa.array(list(band_keys(signs, bands, rows)), pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n", "d1", "d2", "sig", "keys"],
@@ -181,8 +188,10 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs; see the module's docstring."""
+    if bands is None or rows is None:
+        bands, rows = banding(percent)
     base = materialize(
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
             _fingerprint(width, bands, rows), "doc_id long, n long, d1 long, d2 long, sig binary, keys array<long>"
@@ -196,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     exploded = materialize(exploded, "bands")
     shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
     members = materialize(exploded.join(shared, "key"), "buckets")
-    found = _links(members, base.select("doc_id", "n", "sig"), docs, width, percent, 6 * math.sqrt(percent / 100 * (1 - percent / 100) / (bands * rows)))
+    found = _links(members, base.select("doc_id", "n", "sig"), docs, width, percent, 6 * math.sqrt(percent / 100 * (1 - percent / 100) / min(MARKS, bands * rows)))
     label = sets.select("d1", "d2", "n", "rep")
     out = base.select("doc_id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
     if found is not None:
@@ -236,6 +245,8 @@ def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, pe
         )
         likely = materialize(likely, "pairs")
         wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
+        if wanted.count() <= BROADCAST_IDS:  # a checked size; beyond it the texts are shuffled once a round
+            wanted = F.broadcast(wanted)
         texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
         full = materialize(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"), "shingles")
         common = F.size(F.array_intersect("xa", "xb")).cast("long")
