@@ -12,7 +12,7 @@ import re
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 LONGEST_PIECE = 64
 _ODD = re.compile(r"\s \s?|\s\x20|\x20\s|^\x20|\x20$")
 
@@ -36,25 +36,42 @@ class Encoder:
         self.of: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.start, self.size, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.uses = np.zeros(1 << 14, np.int64)
+
+    def shrink(self) -> None:
+        """Keep the pieces met most often, up to half of the bound."""
+        n = len(self.of)
+        uses = self.uses[:n]
+        least = 2
+        while (uses >= least).sum() > CACHE_PIECES // 2:
+            least += 1
+        kept = [(p, self.flat[self.start[k] : self.start[k] + self.size[k]].copy()) for p, k in self.of.items() if uses[k] >= least]
+        self.clear()
+        for piece, ids in kept:
+            self._store(piece, ids)
+
+    def _store(self, piece: str, ids) -> None:
+        k, n = len(self.of), len(ids)
+        if k == len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
+            self.uses = np.concatenate([self.uses, np.zeros(k, np.int64)])
+        while self.used + n > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.of[piece] = k
+        self.start[k], self.size[k] = self.used, n
+        self.flat[self.used : self.used + n] = ids
+        self.used += n
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
         for piece, ids in zip(pieces, self._whole(pieces), strict=True):
-            k = len(self.of)
-            if k == len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.of[piece] = k
-            self.start[k], self.size[k] = self.used, len(ids)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+            self._store(piece, ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.of) > CACHE_PIECES:
-            self.clear()
+            self.shrink()
         out: list = [None] * len(texts)
         odd, cut = [], []
         for i, text in enumerate(texts):
@@ -79,9 +96,11 @@ class Encoder:
             self._learn(list(new))
         for i, pieces in cut:
             k = np.fromiter(map(get, pieces), np.int64, len(pieces))
+            self.uses[k] += 1
             sizes = self.size[k]
             ends = np.cumsum(sizes)
-            take = np.repeat(self.start[k] - (ends - sizes), sizes) + np.arange(ends[-1])
+            take = np.repeat(self.start[k] - (ends - sizes), sizes)
+            take += np.arange(ends[-1])
             out[i] = self.flat[take]
         return out
 
