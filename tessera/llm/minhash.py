@@ -34,6 +34,7 @@ def banding(percent: int) -> tuple[int, int]:
 
 MARKS = 64  # signature positions (a byte of each) that are compared before full sets are
 BROADCAST_IDS = 300_000
+FIRST_BANDS = 6
 _BLOCK = 8192
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
@@ -201,11 +202,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     live = base.filter("n > 0 and doc_id is not null")
     sets = materialize(live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "sets")
     reps = sets.select("d1", "d2", "n", F.col("rep").alias("doc_id")).join(base, ["d1", "d2", "n", "doc_id"]).dropDuplicates(["doc_id"])
-    exploded = reps.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
-    exploded = materialize(exploded, "bands")
-    shared = exploded.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first")).filter("size > 1")
-    members = materialize(exploded.join(shared, "key"), "buckets")
-    found = _links(members, base.select("doc_id", "n", "sig"), docs, width, percent, 6 * math.sqrt(percent / 100 * (1 - percent / 100) / min(MARKS, bands * rows)))
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), "n", "keys"), "representatives")
+    marks = base.select("doc_id", "n", "sig").dropDuplicates(["doc_id"])
+    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / min(MARKS, bands * rows))
+    found, links = None, None
+    # a few bands first: they join what is very much alike, so the other bands only see buckets that are still mixed
+    for lo, hi in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
+        known = reps if found is None else reps.join(found, "id", "left")
+        component = F.col("id") if found is None else F.coalesce("component", "id")
+        exploded = known.select("id", "n", component.alias("component"), F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
+        mixed = (
+            exploded.groupBy("key")
+            .agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .filter("lo < hi")
+            .select("key", "size", "first")
+        )
+        members = materialize(exploded.join(mixed, "key"), "buckets")
+        found, links = _links(members, marks, docs, width, percent, slack, found, links)
     label = sets.select("d1", "d2", "n", "rep")
     out = base.select("doc_id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
     if found is not None:
@@ -218,28 +231,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     )
 
 
-def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, percent: int, slack: float) -> DataFrame | None:
-    """(id, component) of the representatives that have links, or None where there are none."""
-    labels, confirmed, pivots, full = None, None, 1, None
-    members = members.withColumn("component", F.col("id"))
-    marks = marks.dropDuplicates(["doc_id"])
+def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, percent: int, slack: float, labels: DataFrame | None, confirmed: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(id, component) of the representatives that have links, and the links; None where there are none."""
+    pivots = 1
     while True:
         # the first round takes the smallest id; later ones about `pivots` members, all of them in smaller buckets
         chosen = (F.col("id") == F.col("first")) | (F.col("size") <= 4 * pivots)
         if pivots > 1:
             chosen |= F.pmod(F.xxhash64("id", F.lit(pivots)), F.col("size")) < pivots
-        heads = members.filter(chosen).select("key", F.col("id").alias("p"), F.col("component").alias("pc"))
+        heads = members.filter(chosen).select("key", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))
         pairs = (
             members.join(heads, "key")
-            .filter("id <> p and component <> pc")
+            .filter(f"id <> p and component <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
             .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
             .distinct()
         )
-        side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
+        side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"))
         likely = (
             pairs.join(side("a"), "a")
             .join(side("b"), "b")
-            .filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
             .select("a", "b", "sa", "sb")
             .mapInArrow(_likely(percent / 100 - slack), "a long, b long")
         )
@@ -260,11 +270,13 @@ def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, pe
         if not new.isEmpty():
             confirmed = new if confirmed is None else confirmed.union(new)
             labels = components(confirmed)
+        members = members.filter(F.col("size") > 4 * pivots)
+        if members.isEmpty():
+            return labels, confirmed
         if labels is not None:
             members = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = members.filter(F.col("size") > 4 * pivots)
         mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        members = materialize(members.join(mixed.select("key"), "key", "left_semi").select("key", "id", "size", "first", "component"), "buckets")
+        members = materialize(members.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "size", "first", "component"), "buckets")
         if members.isEmpty():
-            return labels
+            return labels, confirmed
         pivots *= 4
