@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import d, define_all, fail, guard, i, lam
+from .registry import d, define_all, fail, guard, i, lam, trait
 from .scalar import clip_index
 
 
@@ -58,8 +58,8 @@ def run_places(a, b) -> Column:
 
 def _needle(one, many):
     def f(a, needle):
-        hits = run_places(a, needle) if getattr(needle, "_is_array", False) else places(a, needle)
-        return (many if getattr(needle, "_is_array", False) else one)(hits)
+        hits = run_places(a, needle) if trait(needle, "_is_array") else places(a, needle)
+        return (many if trait(needle, "_is_array") else one)(hits)
 
     return f
 
@@ -139,22 +139,11 @@ def combinations(a, n):
 
 
 def permutations(a):
-    """All orders, by factorial digits; for short arrays."""
+    """All orders of an array, the positions in lexicographic order, grown one place at a time; for short arrays."""
     n = size(a)
-    count = F.aggregate(F.sequence(F.lit(1), n), F.lit(1), lambda x, y: x * y)
-
-    def one(p):
-        zero = F.struct(a.alias("left"), p.alias("p"), F.slice(a, F.lit(1), F.lit(0)).alias("out"))
-
-        def step(s, k):
-            f = F.aggregate(upto(n - k), F.lit(1), lambda x, y: x * F.greatest(y, F.lit(1)))
-            q = F.call_function("div", s["p"], f).cast("int")
-            rest = F.concat(F.slice(s["left"], F.lit(1), q), F.slice(s["left"], q + 2, n))
-            return F.struct(rest.alias("left"), (s["p"] % f).alias("p"), F.concat(s["out"], F.array(at(s["left"], q))).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(1), n), zero, step)["out"]
-
-    return F.when(n == 0, F.array(a)).otherwise(F.transform(upto(count), one))
+    start = F.array(F.array().cast("array<int>"))
+    grow = lambda done, _: F.flatten(F.transform(done, lambda p: F.transform(F.filter(upto(n), lambda k: ~F.array_contains(p, k)), lambda k: F.concat(p, F.array(k)))))
+    return F.transform(F.aggregate(upto(n), start, grow), lambda ks: picks(a, ks))
 
 
 def fold(a, zero, f):
@@ -198,8 +187,8 @@ define_all("a.", {
     "count": _needle(size, size),
     "index": _needle(_first, _first),
     "rindex": _needle(_last, _last),
-    "startswith": lambda a, b: F.slice(a, F.lit(1), size(b)) == b if getattr(b, "_is_array", False) else F.coalesce(at(a, F.lit(0)) == b, F.lit(False)),
-    "endswith": lambda a, b: F.slice(a, F.greatest(size(a) - size(b), F.lit(0)) + 1, size(b)) == b if getattr(b, "_is_array", False) else F.coalesce(at(a, size(a) - 1) == b, F.lit(False)),
+    "startswith": lambda a, b: F.slice(a, F.lit(1), size(b)) == b if trait(b, "_is_array") else F.coalesce(at(a, F.lit(0)) == b, F.lit(False)),
+    "endswith": lambda a, b: F.slice(a, F.greatest(size(a) - size(b), F.lit(0)) + 1, size(b)) == b if trait(b, "_is_array") else F.coalesce(at(a, size(a) - 1) == b, F.lit(False)),
     "concat": lambda a, b: F.concat(a, b),
     "append": lambda a, x: F.concat(a, F.array(x)),
     "cycle": lambda a, x, n: guard(n < 0, 15150, "maxLength < 0", F.slice(F.concat(a, F.array(x)), F.greatest(size(a) + 2 - n, F.lit(1)), F.greatest(n, F.lit(0)))),

@@ -11,6 +11,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .registry import LIBRARY, d
 
@@ -144,15 +145,15 @@ _EDGES = {"gaussian": (-np.inf, np.inf), "cauchy": (-np.inf, np.inf), "t": (-np.
 
 
 def _cdf_udf(f):
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def one(x: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float), a.to_numpy(float)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def two(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float), a.to_numpy(float), b.to_numpy(float)))
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def three(x: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float), a.to_numpy(float), b.to_numpy(float), c.to_numpy(float)))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .collections import at, first_n, order, picks, size, total, upto
 from .numeric import dot, is_matrix
-from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam
+from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam, trait
 
 
 def put(state, **fields) -> Column:
@@ -23,7 +23,7 @@ def put(state, **fields) -> Column:
 
 
 def has(state, name) -> bool:
-    known = getattr(state, "_fields", None)
+    known = trait(state, "_fields")
     return known is None or name in known
 
 
@@ -82,7 +82,7 @@ def holt_winters_periodic(x, alpha, beta, gamma, s):
 
 def forecast(n, s):
     base = lambda k: s["level"] + (k + 1) * s["trend"]
-    if has(s, "cycle") and getattr(s, "_fields", None):
+    if has(s, "cycle") and trait(s, "_fields"):
         cycle = lambda k: at(s["cycle"], k % size(s["cycle"]))
         return F.transform(upto(n), lambda k: F.when(s["multiplicative"], base(k) * cycle(k)).otherwise(base(k) + cycle(k)))
     return F.transform(upto(n), base)
@@ -93,7 +93,7 @@ def add_at(values, k, w) -> Column:
 
 
 def fill_histogram(x, w, h):
-    if has(h, "numbins") and getattr(h, "_fields", None) is None or "numbins" in (getattr(h, "_fields", None) or ()):
+    if has(h, "numbins") and trait(h, "_fields") is None or "numbins" in (trait(h, "_fields") or ()):
         k = i(F.floor((x - h["low"]) / (h["high"] - h["low"]) * h["numbins"]))
         return put(h, values=add_at(h["values"], F.when((x >= h["low"]) & (x < h["high"]), k).otherwise(-1), w))
     if "binsize" in h._fields:
@@ -157,9 +157,9 @@ def over(f):
     """A function of numbers, applied over arrays or maps of one shape too."""
 
     def run(*xs):
-        if getattr(xs[0], "_is_array", False):
+        if trait(xs[0], "_is_array"):
             return F.transform(upto(size(xs[0])), lambda k: f(*(at(x, k) for x in xs)))
-        if getattr(xs[0], "_is_map", False):
+        if trait(xs[0], "_is_map"):
             return F.transform_values(xs[0], lambda k, v: f(v, *(F.element_at(x, k) for x in xs[1:])))
         return f(*xs)
 
@@ -188,8 +188,8 @@ def mahalanobis(x, mean, cov):
 
 
 def update_chi2(pull, s, dof="dof"):
-    terms = total(F.transform(pull, lambda v: v * v)) if getattr(pull, "_is_array", False) else total(F.transform(F.map_values(pull), lambda v: v * v)) if getattr(pull, "_is_map", False) else pull * pull
-    n = size(pull) if getattr(pull, "_is_array", False) or getattr(pull, "_is_map", False) else F.lit(1)
+    terms = total(F.transform(pull, lambda v: v * v)) if trait(pull, "_is_array") else total(F.transform(F.map_values(pull), lambda v: v * v)) if trait(pull, "_is_map") else pull * pull
+    n = size(pull) if trait(pull, "_is_array") or trait(pull, "_is_map") else F.lit(1)
     return put(s, chi2=s["chi2"] + terms, **{dof: s[dof] + n})
 
 
@@ -214,7 +214,7 @@ def reg_linear(x, m):
     c = value_of(m)
     if isinstance(m, Const) and isinstance(m.value["coeff"], list) and m.value["coeff"] and isinstance(m.value["coeff"][0], list):
         return F.transform(F.arrays_zip(c["coeff"].alias("w"), c["const"].alias("b")), lambda r: dot(x, r["w"]) + r["b"])
-    if getattr(x, "_is_map", False):
+    if trait(x, "_is_map"):
         return total(F.transform(F.map_entries(x), lambda e: e["value"] * F.coalesce(F.try_element_at(c["coeff"], e["key"]), F.lit(0.0)))) + c["const"]
     return dot(x, c["coeff"]) + c["const"]
 
@@ -231,8 +231,8 @@ def gaussian_process(x, table, weight, kernel):
     from .numeric import inverse
 
     table = value_of(table)
-    point = x if getattr(x, "_is_array", False) else F.array(x)
-    where = (lambda r: r["x"]) if getattr(x, "_is_array", False) else (lambda r: F.array(r["x"]))
+    point = x if trait(x, "_is_array") else F.array(x)
+    where = (lambda r: r["x"]) if trait(x, "_is_array") else (lambda r: F.array(r["x"]))
     noise = F.coalesce(weight, F.lit(0.0))
     gram = F.transform(table, lambda r, a: F.transform(table, lambda q, b: kernel(where(r), where(q)) + F.when(a == b, noise).otherwise(F.lit(0.0))))
     near = F.transform(table, lambda r: kernel(point, where(r)))
@@ -368,7 +368,7 @@ define_all("model.neighbor.", {
 def naive_gaussian(x, model):
     ll = lambda v, p: -F.ln(2 * math.pi * p["variance"]) / 2 - (v - p["mean"]) * (v - p["mean"]) / (2 * p["variance"])
     model = value_of(model)
-    if getattr(x, "_is_map", False):
+    if trait(x, "_is_map"):
         return total(F.transform(F.map_entries(x), lambda e: ll(e["value"], F.element_at(model, e["key"]))))
     return total(F.zip_with(x, model, ll))
 
@@ -379,7 +379,7 @@ def _values(model):
 
 def naive_multinomial(x, model):
     p = _values(model)
-    if getattr(x, "_is_map", False):
+    if trait(x, "_is_map"):
         bottom = total(F.map_values(p))
         return total(F.transform(F.map_entries(x), lambda e: e["value"] * F.ln(F.element_at(p, e["key"]) / bottom)))
     return total(F.zip_with(x, p, lambda n, q: n * F.ln(q / total(p))))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .collections import at, first_n, order, picks, size, some, total, upto
-from .registry import Const, d, define_all, fail, guard, i, lam
+from .registry import Const, d, define_all, fail, guard, i, lam, trait
 from .scalar import ln_gamma
 
 
@@ -49,12 +49,12 @@ def _eigen_basis(m: np.ndarray):
 
 
 inverse = numpy_udf(lambda m: np.linalg.inv(m).tolist(), MATRIX)
-determinant = numpy_udf(lambda m: float(np.linalg.det(m)), "double")
+determinant = numpy_udf(lambda m: float(np.linalg.det(m)), T.DoubleType())
 eigen_basis = numpy_udf(_eigen_basis, MATRIX)
 
 
 def is_matrix(x) -> bool:
-    return getattr(x, "_is_matrix", False)
+    return trait(x, "_is_matrix")
 
 
 def scale(x, k):
@@ -157,15 +157,15 @@ def link(f):
     """A link over a number, an array or a map; the compiler marks collections."""
 
     def run(x):
-        if getattr(x, "_is_map", False):
+        if trait(x, "_is_map"):
             return F.transform_values(x, lambda _, v: f(v))
-        return F.transform(x, lam(f, 1)) if getattr(x, "_is_array", False) else f(x)
+        return F.transform(x, lam(f, 1)) if trait(x, "_is_array") else f(x)
 
     return run
 
 
 def softmax(x):
-    if getattr(x, "_is_map", False):
+    if trait(x, "_is_map"):
         top = F.array_max(F.map_values(x))
         bottom = total(F.transform(F.map_values(x), lambda v: F.exp(v - top)))
         return F.transform_values(x, lambda _, v: F.exp(v - top) / bottom)
@@ -206,7 +206,7 @@ def table_order(table, x) -> Column:
 
 
 def interp_nearest(x, table, metric=None):
-    near = lambda r: metric(x, r["x"]) if metric else F.sqrt(total(F.zip_with(x, r["x"], lambda a, b: (a - b) * (a - b)))) if getattr(x, "_is_array", False) else F.abs(r["x"] - x)
+    near = lambda r: metric(x, r["x"]) if metric else F.sqrt(total(F.zip_with(x, r["x"], lambda a, b: (a - b) * (a - b)))) if trait(x, "_is_array") else F.abs(r["x"] - x)
     return some(table, at(table, at(order(F.transform(table, near)), F.lit(0)))["to"], 22010, "table must have at least one entry")
 
 

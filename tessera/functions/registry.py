@@ -56,3 +56,8 @@ def i(x: Column) -> Column:
 def lam(f: Callable, n: int) -> Callable:
     """A callable with exactly n positional parameters, as higher-order functions want."""
     return {1: lambda a: f(a), 2: lambda a, b: f(a, b), 3: lambda a, b, c: f(a, b, c)}[n]
+
+
+def trait(x, name: str):
+    """What the compiler has noted on a Column (a plain getattr would mean a field of the column)."""
+    return vars(x).get(name) if isinstance(x, Column) else None

@@ -1,0 +1,42 @@
+"""Row-level operators that carry the in-record ones' meaning to whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame, pool: DataFrame, key: str, pool_key: str, columns: list[str]) -> DataFrame:
+    """Enrich rows from a keyed pool; the pool is broadcast only if it is counted to be small, else Spark's joins decide."""
+    side = pool.select(F.col(pool_key).alias("_key"), *columns)
+    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    return df.join(side, df[key] == F.col("_key"), "left").drop("_key")
+
+
+def top_per_key(df: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
+    """The first n rows of each key; Spark limits each task's groups before the shuffle."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, columns: list[str], prefix: str = "") -> DataFrame:
+    """The latest right row of the same key at or before each left row: one union and one window, no range join."""
+    names = left.columns
+    a = left.select(*names, *(F.lit(None).cast(right.schema[c].dataType).alias(f"_r_{c}") for c in columns), F.lit(1).alias("_side"))
+    b = right.select(*(F.col(n) if n in (key, ts) else F.lit(None).cast(left.schema[n].dataType).alias(n) for n in names), *(F.col(c).alias(f"_r_{c}") for c in columns), F.lit(0).alias("_side"))
+    w = Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b)
+    found = F.last(F.when(F.col("_side") == 0, F.struct(*(F.col(f"_r_{c}").alias(c) for c in columns))), ignorenulls=True).over(w)
+    return out.withColumn("_found", found).filter("_side = 1").select(*names, *(F.col(f"_found.{c}").alias(prefix + c) for c in columns))
+
+
+def moments(df: DataFrame, keys: list[str], value: str, weight: Column | None = None) -> DataFrame:
+    """Weighted count, mean and variance per key; sums combine on the map side."""
+    w = weight if weight is not None else F.lit(1.0)
+    x = F.col(value)
+    out = df.groupBy(*keys).agg(F.sum(w).alias("count"), F.sum(w * x).alias("_s"), F.sum(w * x * x).alias("_q"))
+    mean = F.col("_s") / F.col("count")
+    return out.select(*keys, "count", mean.alias("mean"), (F.col("_q") / F.col("count") - mean * mean).alias("variance"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import LIBRARY, Const
-from ..functions.registry import fail, lam
+from ..functions.registry import fail, lam, trait
 from ..types import SchemaError, Types
 
 MAX_ITERATIONS = 1000
@@ -29,19 +29,16 @@ class SemanticError(ValueError):
 
 def mark(c: Column, kind: T.DataType | None) -> Column:
     """Note on a Column what collection it is, for functions with overloads."""
-    try:
-        c._type = kind
-        c._is_array = isinstance(kind, T.ArrayType)
-        c._is_matrix = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
-        c._is_map = isinstance(kind, T.MapType)
-        c._fields = tuple(kind.names) if isinstance(kind, T.StructType) else None
-    except AttributeError:
-        pass
+    c._type = kind
+    c._is_array = isinstance(kind, T.ArrayType)
+    c._is_matrix = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType)
+    c._is_map = isinstance(kind, T.MapType)
+    c._fields = tuple(kind.names) if isinstance(kind, T.StructType) else None
     return c
 
 
 def type_of(c: Any) -> T.DataType | None:
-    return getattr(c, "_type", None)
+    return trait(c, "_type")
 
 
 def part(c: Column, key: Any) -> Column:
@@ -125,7 +122,7 @@ class Compiler:
             if form in e:
                 return getattr(self, "do_" + FORMS[form])(e, env)
         (name, args), = ((k, v) for k, v in e.items() if k != "@")
-        args = args if isinstance(args, list) and not self._is_string(args) else [args]
+        args = args if isinstance(args, list) else [args]
         return self.call(name, args, env)
 
     def call(self, name: str, args: list, env: dict) -> Any:
@@ -542,8 +539,9 @@ FORMS = {
     "cast": "cast", "upcast": "upcast", "ifnotnull": "ifnotnull", "pack": "pack", "unpack": "unpack",
     "doc": "doc", "log": "log", "error": "error", "try": "try", "call": "call", "params": "fcndef",
 }
-# loops carry a "do" too, so they are told first
-FORMS = {k: FORMS[k] for k in ("params", "while", "until", "for", "foreach", "forkey", *(k for k in FORMS if k not in ("params", "while", "until", "for", "foreach", "forkey")))}
+# loops carry other forms' keys too, so they are told first
+_FIRST = ("params", "for", "foreach", "forkey", "while", "until")
+FORMS = {k: FORMS[k] for k in (*_FIRST, *(k for k in FORMS if k not in _FIRST))}
 
 SAME = {"a.sort", "a.reverse", "a.tail", "a.init", "a.subseq", "a.distinct", "a.concat", "a.append", "a.filter", "a.sortLT", "a.takeWhile", "a.dropWhile", "a.union", "a.intersection", "a.diff", "a.symdiff", "a.rotate", "a.shuffle", "map.add", "map.remove", "map.filter", "map.union", "map.update", "map.only", "map.except", "m.link.softmax"}
 ARITHMETIC = {"+", "-", "*", "//", "%", "%%", "max", "min"}
