@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, gram_hashes, materialize, mix64, slices, texts_as_bytes, word_hashes
+from .common import GOLDEN, bounded_batches, gram_hashes, materialize, mix64, release, slices, texts_as_bytes, word_hashes
 
 #: Bands and rows by threshold: at the threshold a pair misses every band with a chance below 1e-6.
 def banding(percent: int) -> tuple[int, int]:
@@ -116,6 +116,7 @@ def _fingerprint(width: int, bands: int, rows: int):
                     ],
                     ["doc_id", "n", "d1", "d2", "sig", "keys"],
                 )
+        release()
 
     return run
 
@@ -128,6 +129,7 @@ def _full_sets(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
                 )
+        release()
 
     return run
 
@@ -191,6 +193,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs; see the module's docstring."""
+    bounded_batches(docs.sparkSession)
     if bands is None or rows is None:
         bands, rows = banding(percent)
     base = materialize(

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, texts_as_bytes
+from .common import bounded_batches, release, slices, texts_as_bytes
 
 TRAIN_ROWS, DICT_BYTES, LEVEL = 4000, 112 << 10, 3
 
@@ -97,7 +97,10 @@ def append_scores(docs: DataFrame, model, name: str = "_score") -> DataFrame:
             for batch in slices(whole):
                 got = [score(t or b"") for t in texts_as_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, pa.float64())], [*batch.schema.names, name])
+        getattr(shared.value, "forget", release)()  # the worker lives on, and what it has cached with it
+        release()
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, schema)
 
 

@@ -21,7 +21,7 @@ from .common import ALNUM_TABLE
 from .quality import append_scores, labelled_sample
 
 TRAIN_ROWS, BITS, SWAP_PENALTY, EPOCHS = 6000, 18, 2.0, 12
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 #: Neutral words for groups of people, by language.
 IDENTITY_TERMS = {
@@ -111,6 +111,9 @@ class ToxicityClassifier:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_known"}
 
+    def forget(self) -> None:
+        self.__dict__.pop("_known", None)
+
     def score(self, text: bytes) -> float:
         if self.weights is None:
             return self.prior
