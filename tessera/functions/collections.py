@@ -103,6 +103,9 @@ def mean(a) -> Column:
 def median(a):
     s, n = F.array_sort(a), size(a)
     half = F.call_function("div", n, F.lit(2)).cast("int")
+    kind = trait(a, "_type")
+    if kind is not None and kind.elementType.simpleString() not in ("float", "double"):  # whole numbers and others: the lower middle
+        return some(a, at(s, F.call_function("div", n - 1, F.lit(2)).cast("int")), 15420)
     return some(a, F.when(n % 2 == 1, at(s, half).cast("double")).otherwise((at(s, half - 1).cast("double") + at(s, half).cast("double")) / 2), 15420)
 
 

@@ -73,17 +73,19 @@ def holt_winters(x, alpha, beta, s):
 
 
 def holt_winters_periodic(x, alpha, beta, gamma, s):
-    first, many = at(s["cycle"], F.lit(0)), s["multiplicative"]
-    level = alpha * F.when(many, x / first).otherwise(x - first) + (1 - alpha) * (s["level"] + s["trend"])
+    """The cycle turns left by one; its new head is used and replaced."""
+    turned = F.concat(F.slice(s["cycle"], F.lit(2), size(s["cycle"])), F.slice(s["cycle"], F.lit(1), F.lit(1)))
+    head, many = at(turned, F.lit(0)), s["multiplicative"]
+    level = alpha * F.when(many, x / head).otherwise(x - head) + (1 - alpha) * (s["level"] + s["trend"])
     trend = beta * (level - s["level"]) + (1 - beta) * s["trend"]
-    new = gamma * F.when(many, x / level).otherwise(x - level) + (1 - gamma) * first
-    return put(s, level=level, trend=trend, cycle=F.concat(F.slice(s["cycle"], F.lit(2), size(s["cycle"])), F.array(new)))
+    new = gamma * F.when(many, x / level).otherwise(x - level) + (1 - gamma) * head
+    return put(s, level=level, trend=trend, cycle=F.concat(F.array(new), F.slice(turned, F.lit(2), size(turned))))
 
 
 def forecast(n, s):
     base = lambda k: s["level"] + (k + 1) * s["trend"]
     if has(s, "cycle") and trait(s, "_fields"):
-        cycle = lambda k: at(s["cycle"], k % size(s["cycle"]))
+        cycle = lambda k: at(s["cycle"], (k + 1) % size(s["cycle"]))
         return F.transform(upto(n), lambda k: F.when(s["multiplicative"], base(k) * cycle(k)).otherwise(base(k) + cycle(k)))
     return F.transform(upto(n), base)
 
@@ -143,7 +145,7 @@ def update_trigger(hit, h):
 
 def z_value(x, s, unbiased=None):
     z = (x - s["mean"]) / F.sqrt(s["variance"])
-    return z if unbiased is None else F.when(unbiased, z * F.sqrt((s["count"] - 1) / s["count"])).otherwise(z)
+    return z if unbiased is None else F.when(unbiased, z * F.sqrt(s["count"] / (s["count"] - 1))).otherwise(z)
 
 
 define_all("stat.change.", {
@@ -169,14 +171,14 @@ def over(f):
 def kolmogorov(x, y):
     """Asymptotic probability that both samples come from one distribution."""
     x, y = (F.filter(v, lambda t: ~F.isnan(t)) for v in (x, y))
-    share = lambda v, t: size(F.filter(v, lambda s: s <= t)) / size(v)
+    share = lambda v, t: size(F.filter(v, lambda s: s <= t)) / F.greatest(size(v), F.lit(1))
     gap = F.array_max(F.transform(F.concat(x, y), lambda t: F.abs(share(x, t) - share(y, t))))
-    n = size(x) * size(y) / (size(x) + size(y)).cast("double")
+    n = size(x) * size(y) / F.greatest(size(x) + size(y), F.lit(1)).cast("double")
     z = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * gap
-    series = F.lit(0.0)
-    for k in range(1, 60):
-        series = series + (2.0 if k % 2 else -2.0) * F.exp(-2.0 * k * k * z * z)
-    return F.when((size(x) == 0) | (size(y) == 0), F.lit(1.0)).when(z < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(series, F.lit(1.0)), F.lit(0.0)))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(149)), F.lit(0.0), lambda t, v: t + F.exp(-F.pow(2.0 * v - 1, F.lit(2)) * math.pi**2 / (8 * z * z)))
+    chance = 1 - math.sqrt(2 * math.pi) / z * terms
+    same = F.array_sort(x) == F.array_sort(y)
+    return F.when(same | (z == 0), F.lit(1.0)).when((size(x) == 0) | (size(y) == 0), F.lit(0.0)).otherwise(chance)
 
 
 def mahalanobis(x, mean, cov):

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam
 
@@ -273,6 +276,17 @@ def re_groups_of_first(s, p):
     return F.when(whole.isNull(), F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), n), lambda k: F.call_function("regexp_extract", s, p, k)))
 
 
+def _python_spans(find):
+    """Group positions need a matcher that tells them: Python's, over batches."""
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
+    def run(s: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([[[list(m.span(k)) for k in range(m.re.groups + 1)] for m in find(b, a)] for a, b in zip(s, p, strict=True)])
+
+    return run
+
+
+_all_groups = _python_spans(re.finditer)
 _none = lambda t: F.array().cast(t)
 define_all("re.", {
     "index": lambda s, p: F.coalesce(F.get(re_spans(s, p), F.lit(0)), _none("array<int>")),
@@ -281,6 +295,8 @@ define_all("re.", {
     "count": lambda s, p: F.regexp_count(s, p),
     "indexall": re_spans,
     "findall": lambda s, p: F.regexp_extract_all(s, p, F.lit(0)),
+    "groups": lambda s, p: F.coalesce(F.get(_all_groups(s, p), F.lit(0)), _none("array<array<int>>")),
+    "groupsall": lambda s, p: _all_groups(s, p),
     "findfirst": lambda s, p: F.regexp_substr(s, p),
     "findgroupsfirst": re_groups_of_first,
     "findgroupsall": lambda s, p: F.transform(F.regexp_extract_all(s, p, F.lit(0)), lambda m: re_groups_of_first(m, p)),
@@ -377,7 +393,7 @@ define_all("bytes.", {
     "isUtf16": lambda b: F.length(b) % 2 == 0,
     "isUtf16be": lambda b: F.length(b) % 2 == 0,
     "isUtf16le": lambda b: F.length(b) % 2 == 0,
-    "toBase64": lambda b: F.base64(b),
+    "toBase64": lambda b: F.translate(F.base64(b), "\r\n", ""),
     "fromBase64": lambda s: F.unbase64(s),
 })
 define_all("fixed.", {"toBytes": lambda x: x, "fromBytes": lambda x, r: F.concat(F.substring(r, F.lit(1), F.length(x)), F.substring(x, F.length(r) + 1, F.length(x)))})
