@@ -29,3 +29,27 @@ def test_groups_and_statistics(spark):
         L["stat.change.zValue"](F.lit(3.0), F.struct(F.lit(2.0).alias("count"), F.lit(1.0).alias("mean"), F.lit(4.0).alias("variance")), F.lit(True)).alias("z"),
     ).first()
     assert row.g == [[1, 3], [2, 3]] and row.k == 1.0 and abs(row.z - 2**0.5) < 1e-12
+
+
+def test_infix(spark):
+    from tessera.plans import infix
+
+    assert infix.expression("1 + 2 * x ** 2 < 7 && !y") == {"&&": [{"<": [{"+": [1, {"*": [2, {"**": ["x", 2]}]}]}, 7]}, {"!": ["y"]}]}
+    doc = infix.document(
+        """
+name: Example
+input: record(In, x: double, y: double)
+output: double
+cells:
+  weights(array(double)) = [2.0, 3.0]
+fcns:
+  square = fcn(v: double -> double) v * v;
+action:
+  s = 0.0;                       // a comment
+  foreach (v : new(array(double), input.x, input.y)) { s = s + u.square(v) };
+  if (s > 100.0) { s = 100.0 };
+  s + a.sum(a.map(weights, fcn(w: double -> double) w + 1.0))
+"""
+    )
+    df = spark.createDataFrame([(3.0, 4.0), (30.0, 4.0)], "x double, y double")
+    assert [r.output for r in tessera.engine(doc).score(df).collect()] == [32.0, 107.0]
