@@ -53,3 +53,21 @@ action:
     )
     df = spark.createDataFrame([(3.0, 4.0), (30.0, 4.0)], "x double, y double")
     assert [r.output for r in tessera.engine(doc).score(df).collect()] == [32.0, 107.0]
+
+
+def test_pmml(spark):
+    from tessera.plans.pmml import from_pmml
+
+    text = """<PMML version="4.2" xmlns="http://www.dmg.org/PMML-4_2"><DataDictionary><DataField name="x" optype="continuous" dataType="double"/><DataField name="c" optype="categorical" dataType="string"/></DataDictionary>
+    <TransformationDictionary><DerivedField name="z" optype="continuous" dataType="double"><Apply function="*"><FieldRef field="x"/><Constant dataType="double">2</Constant></Apply></DerivedField></TransformationDictionary>
+    <TreeModel functionName="regression"><MiningSchema><MiningField name="x"/></MiningSchema><Node score="0"><True/>
+    <Node score="1"><SimplePredicate field="z" operator="lessThan" value="4"/></Node><Node score="2"><SimplePredicate field="c" operator="equal" value="a"/></Node><Node score="3"><True/></Node></Node></TreeModel></PMML>"""
+    df = spark.createDataFrame([(1.0, "a"), (3.0, "a"), (3.0, "b")], "x double, c string")
+    assert [r.output for r in tessera.engine(from_pmml(text)).score(df).collect()] == [1.0, 2.0, 3.0]
+
+
+def test_binary_packing(spark):
+    pack = {"pack": [{"int": 7}, {"null terminated": {"bytes.encodeUtf8": [{"string": "ab"}]}}, {"double": "input"}]}
+    back = {"unpack": pack, "format": [{"a": "int"}, {"b": "null terminated"}, {"c": "double"}], "then": {"+": ["a", "c"]}, "else": -1.0}
+    df = spark.createDataFrame([(1.5,)], "value double")
+    assert tessera.engine({"input": "double", "output": "double", "action": back}).score(df).first().output == 8.5
