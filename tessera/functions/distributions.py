@@ -68,6 +68,8 @@ def beta_i(a, b, x):
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * dd * c
+        if not h.size or np.nanmax(np.abs(dd * c - 1), initial=0) < 1e-15:
+            break
     value = np.where(y <= 0, 0.0, front * h)
     return np.clip(np.where(swap, 1 - value, value), 0, 1)
 
