@@ -14,7 +14,9 @@ import numpy as np
 
 CACHE_PIECES = 700_000
 LONGEST_PIECE = 64
-_ODD = re.compile(r"\s \s?|\s\x20|\x20\s|^\x20|\x20$")
+LEARN_PIECES = 2000
+FIRST = "\ufdd0"  # a noncharacter; texts that hold it go whole
+_ODD = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
 
 
 class Encoder:
@@ -27,6 +29,11 @@ class Encoder:
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.spaced = "Ġ" in str(self.model.pre_tokenizer) or self._keeps_spaces()
+        # a line feed, or a control character as a word where white space is dropped
+        self.mark = "\n" if self.spaced else "\x01"
+        self.joiner = self.mark if self.spaced else f" {self.mark} "
+        ids = self.model.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = ids[0] if len(ids) == 1 else None
         self.clear()
 
     def _keeps_spaces(self) -> bool:
@@ -45,29 +52,53 @@ class Encoder:
         least = 2
         while (uses >= least).sum() > CACHE_PIECES // 2:
             least += 1
-        kept = [(p, self.flat[self.start[k] : self.start[k] + self.size[k]].copy()) for p, k in self.of.items() if uses[k] >= least]
+        kept = [(p, k) for p, k in self.of.items() if uses[k] >= least]
+        places = np.array([k for _, k in kept], np.int64)
+        sizes = self.size[places]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.start[places] - (ends - sizes), sizes) + np.arange(sizes.sum())]
         self.clear()
-        for piece, ids in kept:
-            self._store(piece, ids)
-
-    def _store(self, piece: str, ids) -> None:
-        k, n = len(self.of), len(ids)
-        if k == len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
-            self.uses = np.concatenate([self.uses, np.zeros(k, np.int64)])
-        while self.used + n > len(self.flat):
+        self._store([p for p, _ in kept], ids, sizes)
+
+    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Append pieces with their ids, laid end to end."""
+        k, n = len(self.of), len(pieces)
+        while k + n > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.uses), np.int64)])
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.of[piece] = k
-        self.start[k], self.size[k] = self.used, n
-        self.flat[self.used : self.used + n] = ids
-        self.used += n
+        self.of.update(zip(pieces, range(k, k + n), strict=True))
+        self.size[k : k + n] = sizes
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _text(self, piece: str) -> str:
+        if not self.spaced:
+            return piece
+        return piece[len(FIRST) :] if piece.startswith(FIRST) else " " + piece
+
     def _learn(self, pieces: list[str]) -> None:
-        for piece, ids in zip(pieces, self._whole(pieces), strict=True):
-            self._store(piece, ids)
+        """New pieces go to the library in long texts, kept apart by a mark that is a token of its own."""
+        safe = [p for p in pieces if self.mark not in p]
+        if len(safe) < len(pieces) or self.mark_id is None:
+            rest = [p for p in pieces if self.mark in p] if self.mark_id is not None else pieces
+            for piece, ids in zip(rest, self._whole([self._text(p) for p in rest]), strict=True):
+                self._store([piece], np.array(ids, np.uint32), np.array([len(ids)]))
+            if self.mark_id is None:
+                return
+        parts = [safe[i : i + LEARN_PIECES] for i in range(0, len(safe), LEARN_PIECES)]
+        for part, ids in zip(parts, self._whole([self.joiner.join(map(self._text, p)) for p in parts]), strict=True):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the mark isn't a token of its own")
+            sizes = np.diff(np.r_[-1, ends, len(ids)]) - 1
+            self._store(part, ids[ids != self.mark_id], sizes)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.of) > CACHE_PIECES:
@@ -77,10 +108,10 @@ class Encoder:
         for i, text in enumerate(texts):
             pieces = text.split(" ")
             if self.spaced:
-                if _ODD.search(text):
+                if _ODD.search(text) or FIRST in text:
                     odd.append(i)
                     continue
-                pieces[1:] = [" " + p for p in pieces[1:]]
+                pieces[0] = FIRST + pieces[0]  # the other pieces stand for themselves with the space before them
             if max(map(len, pieces)) > LONGEST_PIECE:
                 odd.append(i)
             else:
