@@ -35,6 +35,7 @@ def banding(percent: int) -> tuple[int, int]:
 MARKS = 64  # signature positions (a byte of each) that are compared before full sets are
 BROADCAST_IDS = 300_000
 FIRST_BANDS = 6
+LOCAL_LINKS = 400_000
 _BLOCK = 8192
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
@@ -175,7 +176,13 @@ def _forest(batches):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) for the nodes of links (u, v): union-find within partitions, then minimum labels with pointer jumping."""
+    """(id, component) for the nodes of links (u, v), roots perhaps without a row.
+
+    Up to LOCAL_LINKS links one union-find does; beyond that union-find within partitions thins them out, and minimum
+    labels with pointer jumping follow.
+    """
+    if links.count() <= LOCAL_LINKS:  # a checked size: one task's union-find is then complete; roots have no row
+        return materialize(links.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("id", "component"), "labels")
     links = materialize(links.mapInArrow(_forest, "u long, v long"), "forest")
     both = links.union(links.select("v", "u")).toDF("u", "v")
     labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")

@@ -200,3 +200,13 @@ def test_url_filter(spark):
     by_join = url_filter.pattern_hits(pages, map_rules=0).collect()
     assert {r.page_id: list(r._rules) for r in by_join} == {r.page_id: list(r._rules) for r in url_filter.pattern_hits(pages).collect()}
     assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def test_components_by_labels(spark, monkeypatch):
+    links = [(i + 1, i) for i in range(40)] + [(101, 100), (103, 101), (103, 102)]
+    df = spark.createDataFrame(links, "u long, v long").repartition(5)
+    want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 104)}
+    for limit in (minhash.LOCAL_LINKS, 0):
+        monkeypatch.setattr(minhash, "LOCAL_LINKS", limit)
+        got = {r.id: r.component for r in minhash.components(df).collect()}
+        assert {k: got.get(k, k) for k in want} == want
