@@ -223,9 +223,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         exploded = known.select("id", "n", component.alias("component"), F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
         mixed = (
             exploded.groupBy("key")
-            .agg(F.count("*").alias("size"), F.min("id").alias("first"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+            .agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
             .filter("lo < hi")
-            .select("key", "size", "first")
+            .select("key", "size")
         )
         members = materialize(exploded.join(mixed, "key"), "buckets")
         found, links = _links(members, marks, docs, width, percent, slack, found, links)
@@ -245,11 +245,15 @@ def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, pe
     """(id, component) of the representatives that have links, and the links; None where there are none."""
     pivots = 1
     while True:
-        # the first round takes the smallest id; later ones about `pivots` members, all of them in smaller buckets
-        chosen = (F.col("id") == F.col("first")) | (F.col("size") <= 4 * pivots)
+        # Pivots: of each bucket the member that has the most company over all buckets (the text that the others are
+        # copies of, where it is there), all members of small buckets, and in later rounds about `pivots` others.
+        ranks = members.groupBy("id").agg(F.sum("size").alias("rank"))
+        best = members.join(ranks, "id").groupBy("key").agg(F.max(F.struct("rank", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("b"))
+        chosen = F.col("size") <= 4 * pivots
         if pivots > 1:
             chosen |= F.pmod(F.xxhash64("id", F.lit(pivots)), F.col("size")) < pivots
         heads = members.filter(chosen).select("key", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))
+        heads = heads.union(best.select("key", "b.p", "b.pc", "b.pn")).distinct()
         pairs = (
             members.join(heads, "key")
             .filter(f"id <> p and component <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
@@ -286,7 +290,7 @@ def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, pe
         if labels is not None:
             members = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        members = materialize(members.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "size", "first", "component"), "buckets")
+        members = materialize(members.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "size", "component"), "buckets")
         if members.isEmpty():
             return labels, confirmed
         pivots *= 4
