@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -47,7 +48,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 400
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -59,8 +60,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def release() -> None:
-    """Give memory that Arrow has kept back at the end of a task."""
+    """Give memory that Arrow and the allocator have kept back at the end of a task; the worker lives on."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def lower_ascii(c: Column) -> Column:

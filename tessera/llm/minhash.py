@@ -35,7 +35,7 @@ def banding(percent: int) -> tuple[int, int]:
 MARKS = 64  # signature positions (a byte of each) that are compared before full sets are
 BROADCAST_IDS = 300_000
 FIRST_BANDS = 6
-LOCAL_LINKS = 400_000
+LOCAL_LINKS = 200_000
 _BLOCK = 8192
 _LOW = np.uint64(0xFFFFFFFF)
 _SHIFT = np.uint64(32)
@@ -125,7 +125,7 @@ def _fingerprint(width: int, bands: int, rows: int):
 def _full_sets(width: int):
     def run(batches):
         for whole in batches:
-            for batch in slices(whole, limit=4 << 20):
+            for batch in slices(whole, limit=1 << 20):
                 sets = [shingle_set(t, width).view(np.int64) for t in texts_as_bytes(batch.column("text"))]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
@@ -145,6 +145,7 @@ def _likely(limit: float):
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             keep = (a == b).mean(axis=1) >= limit
             yield batch.select(["a", "b"]).filter(pa.array(keep))
+        release()
 
     return run
 
@@ -173,6 +174,7 @@ def _forest(batches):
         if len(parent) > 1_000_000:  # bounded memory; what is flushed stays connected by the emitted links
             yield flush()
     yield flush()
+    release()
 
 
 def components(links: DataFrame) -> DataFrame:
