@@ -1,10 +1,11 @@
 """URL filters: host and path rules, then pattern rules indexed by their rarest literal token.
 
 A host rule fits its host and all its subdomains if the path starts with the rule's; the longest one wins. Where none
-fits, pattern rules decide: each has literal tokens that must occur among the URL's tokens and a regular expression.
-Rules are indexed by the token that is rarest in the URLs themselves (one aggregation, restricted to the rules' own
-tokens, so its result is bounded by the rules); a URL's tokens fetch candidate rules, and only those run their
-expressions. Any match blocks, no match allows.
+fits, pattern rules decide: each has alternative sets of literal tokens, one of which must occur whole among the URL's
+tokens wherever its regular expression matches (an optional separator gives two: apart and joined).
+Rules are indexed by the token of each set that is rarest in the URLs themselves (one aggregation, restricted to the
+rules' own tokens, so its result is bounded by the rules); a URL's tokens fetch candidate rules, and only those run
+their expressions. Any match blocks, no match allows.
 
 Plan: up to MAP_RULES rules the index is a literal map and nothing is shuffled; more rules take an equi-join on tokens.
 Only built-in functions are used.
@@ -28,18 +29,19 @@ HOST_RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-#: Pattern rules: literal tokens and a regular expression over the lower-cased URL.
+#: Pattern rules: alternative sets of literal tokens and a regular expression over the lower-cased URL. Every match holds
+#: all tokens of one set as whole tokens; what an expression may match as part of a token is in no set.
 PATTERN_RULES = [
-    (["spam", "farm"], r"\bspam[-_.]?farm\b"),
-    (["cheap", "pills"], r"\bcheap[-_.]?pills\b"),
-    (["online", "casino"], r"\bonline[-_.]?casino\b"),
-    (["free", "porn"], r"\bfree[-_.]?porn\b"),
-    (["xxx", "videos"], r"\bxxx[-_./]?videos\b"),
-    (["payday", "loans"], r"\bpayday[-_.]?loans\b"),
-    (["crack", "keygen"], r"\bcrack\b.*\bkeygen\b"),
-    (["wp", "login", "php"], r"/wp-login\.php"),
-    (["phpsessid"], r"[?&]phpsessid="),
-    (["doubleclick", "net"], r"\bdoubleclick\.net\b"),
+    ([["spam", "farm"], ["spamfarm"]], r"\bspam[-_.]?farm\b"),
+    ([["cheap", "pills"], ["cheappills"]], r"\bcheap[-_.]?pills\b"),
+    ([["online", "casino"], ["onlinecasino"]], r"\bonline[-_.]?casino\b"),
+    ([["free", "porn"], ["freeporn"]], r"\bfree[-_.]?porn\b"),
+    ([["xxx", "videos"], ["xxxvideos"]], r"\bxxx[-_./]?videos\b"),
+    ([["payday", "loans"], ["paydayloans"]], r"\bpayday[-_.]?loans\b"),
+    ([["crack", "keygen"]], r"\bcrack\b.*\bkeygen\b"),
+    ([["wp", "login"]], r"/wp-login\.php"),
+    ([["phpsessid"]], r"[?&]phpsessid="),
+    ([["doubleclick", "net"]], r"\bdoubleclick\.net\b"),
 ]
 MAP_RULES = 2000
 
@@ -66,13 +68,13 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.split(F.trim(F.regexp_replace(lower_ascii(F.coalesce(url, F.lit(""))), r"[^0-9a-z]+", " ")), " "))
 
 
-def rarest_tokens(pages: DataFrame, rules=PATTERN_RULES) -> list[str]:
-    """For each rule its literal token that the fewest URLs hold (ties: the longer, then the first by name)."""
-    known = sorted({t for tokens, _ in rules for t in tokens})
+def rarest_tokens(pages: DataFrame, rules=PATTERN_RULES) -> list[list[str]]:
+    """For each set of each rule its literal token that the fewest URLs hold (ties: the longer, then the first by name)."""
+    known = sorted({t for sets, _ in rules for tokens in sets for t in tokens})
     wanted = F.array(*map(F.lit, known))
     rows = pages.select(F.explode(F.array_intersect(url_tokens(F.col("url")), wanted)).alias("token")).groupBy("token").count().collect()
     count = {r["token"]: r["count"] for r in rows}
-    return [min(tokens, key=lambda t: (count.get(t, 0), -len(t), t)) for tokens, _ in rules]
+    return [sorted({min(tokens, key=lambda t: (count.get(t, 0), -len(t), t)) for tokens in sets}) for sets, _ in rules]
 
 
 def pattern_hits(pages: DataFrame, rules=PATTERN_RULES, map_rules: int = MAP_RULES) -> DataFrame:
@@ -81,15 +83,16 @@ def pattern_hits(pages: DataFrame, rules=PATTERN_RULES, map_rules: int = MAP_RUL
     low = lower_ascii(F.coalesce(F.col("url"), F.lit("")))
     if len(rules) <= map_rules:
         index: dict[str, list[int]] = {}
-        for k, token in enumerate(keys):
-            index.setdefault(token, []).append(k)
+        for k, tokens in enumerate(keys):
+            for token in tokens:
+                index.setdefault(token, []).append(k)
         known = F.array(*map(F.lit, sorted(index)))
         postings = F.create_map(*(c for t in sorted(index) for c in (F.lit(t), F.array(*map(F.lit, index[t])))))
         candidates = F.flatten(F.transform(F.array_intersect(url_tokens(F.col("url")), known), lambda t: F.element_at(postings, t)))
         with_ids = pages.withColumn("_candidates", candidates)
         runs = [F.when(F.array_contains("_candidates", k) & low.rlike(p), F.array(F.lit(k))).otherwise(F.array().cast("array<int>")) for k, (_, p) in enumerate(rules)]
         return with_ids.withColumn("_rules", F.when(F.size("_candidates") > 0, F.concat(*runs)).otherwise(F.array().cast("array<int>"))).drop("_candidates")
-    table = pages.sparkSession.createDataFrame([(keys[k], k, p) for k, (_, p) in enumerate(rules)], "_token string, _rule int, _pattern string")
+    table = pages.sparkSession.createDataFrame([(token, k, p) for k, (_, p) in enumerate(rules) for token in keys[k]], "_token string, _rule int, _pattern string")
     rows = pages.withColumn("_row", F.monotonically_increasing_id())
     tokens = rows.select("_row", low.alias("_low"), F.explode(url_tokens(F.col("url"))).alias("_token"))
     found = tokens.join(table, "_token").filter("_low rlike _pattern").groupBy("_row").agg(F.sort_array(F.collect_set("_rule")).alias("_rules"))

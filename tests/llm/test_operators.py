@@ -202,6 +202,21 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_index_agrees_with_full_scan(spark):
+    joined = ["spamfarm", "cheappills", "onlinecasino", "freeporn", "xxxvideos", "paydayloans"]
+    apart = [f"{a}{sep}{b}" for a, b in (("spam", "farm"), ("cheap", "pills"), ("xxx", "videos"), ("payday", "loans")) for sep in "-_./"]
+    suffixed = ["wp-login.php5", "wp-login.phps", "wp-login.php_old", "wp-login.php", "wp_login.php", "x-wp-login.php"]
+    others = ["spamfarms", "xspamfarm", "crack/x/keygen", "crackkeygen", "p?phpsessid=1", "p?xphpsessid=1", "doubleclick.net", "doubleclick.network", "doubleclick.net_", "spam/x/farm"]
+    urls = [f"http://a.org/{x}{end}" for x in joined + apart + suffixed + others for end in ("", "/", "_", ".html")] + [f"http://{x}.org/" for x in joined] + [f"HTTP://{x.upper()}" for x in joined]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [r[0] for r in pages.orderBy("page_id").selectExpr("array_compact(array(" + ",".join(f"if(lower(url) rlike r'{p}', {k}, null)" for k, (_, p) in enumerate(url_filter.PATTERN_RULES)) + "))").collect()]
+    for limit in (url_filter.MAP_RULES, 0):
+        got = {r.page_id: list(r._rules) for r in url_filter.pattern_hits(pages, map_rules=limit).collect()}
+        assert [got[i] for i in range(len(urls))] == want
+    verdicts = {r.page_id: r.verdict for r in url_filter.judge(pages).collect()}
+    assert all(verdicts[urls.index(f"http://{x}.org/")] == "block" for x in joined) and verdicts[urls.index("http://a.org/wp-login.php5")] == "block"
+
+
 def test_components_by_labels(spark, monkeypatch):
     links = [(i + 1, i) for i in range(40)] + [(101, 100), (103, 101), (103, 102)]
     df = spark.createDataFrame(links, "u long, v long").repartition(5)
