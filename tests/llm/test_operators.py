@@ -95,6 +95,20 @@ def test_pii(docs, empty):
     assert clean[10].n_chars == len(clean[10].text) and clean[5].text is None and clean[0].text == TEXTS[0]
 
 
+def test_pii_takes_whole_runs(spark):
+    token, key, local = "eyJ0eXAi-_.Qx7" * 21 + "Zend56", "0123456789abcdef" * 16, "john.doe" * 12
+    hidden = [token, key, token * 400, local + " [at] " + "mail" * 20 + " [dot] " + "com" * 10, key * 400, "A1/" * 67]
+    assert len(token) == 300 and len(key) == 256
+    texts = [f"see token = {hidden[0]} here", f"the {hidden[1]}, here", f"secret: '{hidden[2]}' here", f"ask {hidden[3]}, here", f"the {hidden[4]} here", f"password={hidden[5]}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans.split(",") for r in pii.detect(df).collect()}
+    for d, (t, h) in enumerate(zip(texts, hidden, strict=True)):
+        ends = [tuple(map(int, x.split(":")[1:])) for x in spans[d] if x]
+        assert any(s <= t.index(h) and e >= t.index(h) + len(h) for s, e in ends), d
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean == {0: "see <SECRET> here", 1: "the <SECRET>, here", 2: "<SECRET> here", 3: "ask <EMAIL>, here", 4: "the <SECRET> here", 5: "<SECRET>"}
+
+
 def test_tokens_round_trip(spark, docs, empty):
     from tokenizers import Tokenizer
 
