@@ -7,10 +7,11 @@ at least 10 words count. Items of fewer words are one window, looked up by the h
 
 Plan: the benchmark is dealt into blocks whose size is checked (BLOCK_WORDS words), each block's fingerprint index is
 broadcast, and each block is one pass over the documents without a shuffle; with one block, as usual, nothing is
-joined at all. Further blocks are merged per document from hit ranges.
+joined at all. For more blocks the documents are written once with a number for each row, hit ranges of all blocks are
+merged by it, and the columns to keep are joined by it.
 
-Cases: null texts have no words; items with a null item_id are ignored; rows that repeat a doc_id are judged each for
-itself only with one block, else they share their hits; empty tables give empty results; extra columns are ignored.
+Cases: null texts have no words; items with a null item_id are ignored; every row is judged for itself, also those with
+a null or repeated doc_id; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, gram_hashes, slices, texts_as_bytes, word_hashes
+from .common import ALNUM_TABLE, gram_hashes, materialize, slices, texts_as_bytes, word_hashes
 
 GRAM, WINDOW = 6, 5
 SPAN = GRAM + WINDOW - 1
 BLOCK_WORDS = 4_000_000
+ROW = "_decontam_row"
 
 
 def words_of(text: bytes | None) -> np.ndarray:
@@ -159,13 +161,13 @@ def _collect_hits(index):
         for whole in batches:
             for batch in slices(whole):
                 rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
+                for row, text in zip(batch.column(ROW).to_pylist(), texts_as_bytes(batch.column("text")), strict=True):
                     words = words_of(text)
                     ranges, items = own.hits(words)
-                    rows.append((doc, len(words), [list(r) for r in ranges], sorted(str(i) for i in items)))
+                    rows.append((row, len(words), [list(r) for r in ranges], sorted(str(i) for i in items)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string())))],
-                    ["doc_id", "n_words", "ranges", "items"],
+                    [ROW, "n_words", "ranges", "items"],
                 )
 
     return run
@@ -183,15 +185,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] = ["doc
         columns = list(dict.fromkeys([*keep, "text"]))
         schema = T.StructType([*(docs.schema[c] for c in keep), *_COLUMNS])
         return docs.select(*columns).mapInArrow(_judge(index, keep), schema)
+    docs = materialize(docs.select(*dict.fromkeys([*keep, "text"])).withColumn(ROW, F.monotonically_increasing_id()), "decontam-rows")
     parts = None
     for b in range(blocks):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         index = spark.sparkContext.broadcast(Index([(r.item_id, (r.text or "").encode()) for r in mine.collect()]))
-        part = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-            _collect_hits(index), "doc_id long, n_words long, ranges array<array<long>>, items array<string>"
+        part = docs.select(ROW, "text").mapInArrow(
+            _collect_hits(index), f"{ROW} long, n_words long, ranges array<array<long>>, items array<string>"
         )
         parts = part if parts is None else parts.union(part)
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *_COLUMNS])
+    schema = T.StructType([T.StructField(ROW, T.LongType()), *_COLUMNS])
 
     def merge(batches):
         for batch in batches:
@@ -199,12 +202,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] = ["doc
             for n, many, items in zip(*(batch.column(c).to_pylist() for c in ("n_words", "ranges", "items")), strict=True):
                 rows.append(_row(n, [tuple(r) for x in many for r in x], {i for x in items for i in x}))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))],
+                [batch.column(ROW), *(pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))],
                 schema.names,
             )
 
-    grouped = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
+    grouped = parts.groupBy(ROW).agg(F.max("n_words").alias("n_words"), F.collect_list("ranges").alias("ranges"), F.collect_list("items").alias("items"))
     judged = grouped.mapInArrow(merge, schema)
-    if keep == ["doc_id"]:
-        return judged
-    return docs.select(*keep).join(judged, "doc_id", "left")
+    return docs.select(ROW, *keep).join(judged, ROW).drop(ROW)

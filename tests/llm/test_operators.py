@@ -183,6 +183,20 @@ def test_contamination(spark, docs, empty):
     assert not any(r.contaminated for r in decontam.contamination(docs, bench.limit(0)).collect())
 
 
+def test_contamination_judges_rows(spark):
+    texts = [PASSAGE, "clean words only", "short item text", None, PASSAGE + " and short item text", "clean words only"]
+    rows = [(d, t, f"r{i}") for i, (d, t) in enumerate(zip([None, None, 7, 7, 7, None], texts, strict=True))]
+    items = [(1, PASSAGE), (2, "short item text"), (10, "one two"), (11, "three four")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(((d or -1, *brute.contamination(t, items)) for d, t, _ in rows), key=str)
+    for block in (decontam.BLOCK_WORDS, 20, 5):
+        got = [(r.doc_id or -1, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in decontam.contamination(df, bench, block_words=block).collect()]
+        assert sorted(got, key=str) == want, block
+        kept = decontam.contamination(df, bench, keep=df.columns, block_words=block)
+        assert kept.columns[:3] == df.columns and sorted(r.source for r in kept.filter("not contaminated").collect()) == ["r1", "r3", "r5"], block
+
+
 def test_rules(docs, empty):
     book = rule_ledger.ledger(docs)
     got = by_id(rule_ledger.apply_policy(book))
