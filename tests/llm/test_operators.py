@@ -218,6 +218,31 @@ def test_licences(docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licence_texts(spark):
+    mit = """MIT License\n\nCopyright (c) 2020 A. Nother\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"""
+    texts = [
+        (mit, "mit"),
+        ("\n".join("# " + x for x in mit.splitlines()), "mit"),
+        (mit[mit.index("person") - 7 : mit.index("files") + 5].replace("any", "to any"), "mit"),
+        ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "isc"),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\"", "0bsd"),
+        ("This software is provided 'as-is'. 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "zlib"),
+        ("Permission is hereby granted, free of charge, to any person or organization\nobtaining a copy of the software and accompanying documentation covered by\nthis license (the \"Software\") to use, reproduce", "bsl-1"),
+        ("THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (\"AGREEMENT\").", "epl"),
+        ("The intent is that the Copyright Holder maintains some artistic control over the development of that Package", "artistic"),
+        ("You may obtain a copy of this software from any person, and associated documentation files; permission is granted free of charge", ""),
+        ("associated misrepresented artistic eclipse " * 3000, ""),
+        ("to any person obtaining a copy of this software and associated files", ""),
+        ((mit + " x ") * 200, "mit"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = by_id(license_scan.scan(df))
+    assert [got[i].labels for i in range(len(texts))] == [x for _, x in texts]
+    assert all((got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute.licences(t) for i, (t, _) in enumerate(texts))
+    assert all((got[i].score > 0) == bool(x) for i, (_, x) in enumerate(texts))
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "http://A.Example.com/en/x?q", "https://www.example.com/en/", "http://example.com", "ftp://x.net/fr/1#a", "http://spam-farm.example.org/", "http://notexample.com/en/", "http://h?x/en/", "https://www.cheap-pills.example.org/en"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
