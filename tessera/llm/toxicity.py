@@ -1,9 +1,11 @@
 """Counterfactual-regularised toxicity classifier.
 
 A word's features are the word and its prefixes, hashed; a word's score is the sum of their weights, and a text's
-evidence is its highest word score with the sum of the clear ones, calibrated by logistic regression. The word weights
-come from a logistic regression over the words of each labelled text, whose loss also holds the squared change of the
-score when the identity terms of a text are swapped for others, so that naming a group isn't evidence.
+evidence is its highest word score, calibrated by the threshold with the fewest errors. The word weights come from a
+logistic regression over the words of each labelled text. For every labelled text that holds identity terms, its loss
+also has the squared change of that evidence, and of the regression's own sum, between the text and a copy whose terms
+are swapped for others of their language (another one each epoch, seen in training or not), so that naming a group
+isn't evidence. No weight is masked.
 
 Bounds: TRAIN_ROWS labelled rows at most (quality.labelled_sample), of which every word is used; 2**BITS weights.
 Cases: null and empty texts get the score of no evidence; without labels of both classes every text gets the share of
@@ -49,12 +51,14 @@ class ToxicityClassifier:
         docs = [sorted(set(t.translate(ALNUM_TABLE).split())) for t, _ in rows]
         words: dict[bytes, int] = {}
         ids = [np.array([words.setdefault(w, len(words)) for w in d], np.int64) for d in docs]
+        groups = [[words.setdefault(t.encode(), len(words)) for t in terms.split()] for terms in IDENTITY_TERMS.values()]
         features = [word_features(w) for w in words]
         width = max(map(len, features), default=1)
         table = np.full((len(words), width), 1 << BITS, np.int64)  # the last weight is always 0
         for k, f in enumerate(features):
             table[k, : len(f)] = f
-        swaps = self._swaps(words)
+        group_of = {t: g for g in groups for t in g}
+        named = {i: [t for t in d.tolist() if t in group_of] for i, d in enumerate(ids)}
         weights, seen = np.zeros((1 << BITS) + 1), np.full((1 << BITS) + 1, 1e-2)
         bias, rng = float(np.log(y.mean() / (1 - y.mean()))), np.random.default_rng(7)
         balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
@@ -65,32 +69,43 @@ class ToxicityClassifier:
                 rows_ = table[ids[i]]
                 z = bias + weights[rows_].sum()
                 g = balance[i] * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i])
-                if abs(g) < 1e-3:
-                    continue
-                f = rows_.reshape(-1)
-                np.add.at(seen, f, g * g)
-                np.subtract.at(weights, f, 0.3 * g / np.sqrt(seen[f]))
-                weights[-1] = 0
-            for a, b in swaps:  # the counterfactual: the same text with another group
-                gap = weights[a].sum() - weights[b].sum()
-                weights[a] -= penalty * 0.1 * gap / len(a)
-                weights[b] += penalty * 0.1 * gap / len(b)
+                if abs(g) >= 1e-3:
+                    f = rows_.reshape(-1)
+                    np.add.at(seen, f, g * g)
+                    np.subtract.at(weights, f, 0.3 * g / np.sqrt(seen[f]))
+                    weights[-1] = 0
+                if named[i] and penalty:
+                    other = self._swapped(ids[i], named[i], group_of, epoch)
+                    self._even_out(weights, table, ids[i], other, penalty)
             weights *= 0.97
-        for a, _ in swaps:
-            weights[a] = 0 if penalty >= 1 else weights[a]
-        weights[-1] = 0
         self.weights = weights[:-1].astype(np.float32)
         word_score = weights[table].sum(axis=1)
         x = np.array([self._evidence(word_score[k]) for k in ids])
         self.cut, self.slope = self._calibrate(x, y)
 
     @staticmethod
-    def _swaps(words: dict[bytes, int]) -> list[tuple[list[int], list[int]]]:
-        out = []
-        for terms in IDENTITY_TERMS.values():
-            known = [t.encode() for t in terms.split() if t.encode() in words]
-            out += [(word_features(a), word_features(b)) for a, b in zip(known, known[1:] + known[:1], strict=True) if a != b]
-        return out
+    def _swapped(ids: np.ndarray, named: list[int], group_of: dict[int, list[int]], epoch: int) -> np.ndarray:
+        """The words of a text with each identity term replaced by another of its language."""
+        swap = {}
+        for t in named:
+            g = group_of[t]
+            swap[t] = g[(g.index(t) + 1 + epoch % (len(g) - 1)) % len(g)]
+        return np.unique([swap.get(t, t) for t in ids.tolist()])
+
+    @classmethod
+    def _even_out(cls, weights: np.ndarray, table: np.ndarray, own: np.ndarray, other: np.ndarray, penalty: float) -> None:
+        """A gradient step on the squared changes between a text and its copy: of the evidence, then of the sum."""
+        scores = [weights[table[k]].sum(axis=1) for k in (own, other)]
+        tops = [k[[int(s.argmax())]] for k, s in zip((own, other), scores, strict=True)]
+        for a, b in (tops, (np.setdiff1d(own, other), np.setdiff1d(other, own))):
+            f = np.r_[table[a].reshape(-1), table[b].reshape(-1)]
+            sign = np.r_[np.ones(table[a].size), -np.ones(table[b].size)]
+            change = float((weights[f] * sign).sum())
+            keys, at = np.unique(f, return_inverse=True)
+            slope = np.bincount(at, sign)  # of the change, by weight; what both hold has none
+            slope[keys == len(weights) - 1] = 0
+            if (norm := float(slope @ slope)) > 0:
+                weights[keys] -= min(0.2 * penalty, 1.0) * change / norm * slope
 
     @staticmethod
     def _evidence(scores: np.ndarray) -> float:

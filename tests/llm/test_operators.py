@@ -171,6 +171,20 @@ def test_classifiers(spark, docs, empty):
     assert quality.append_scores(empty, toxicity.train(empty, labels, lambda c: labels[c].isNotNull())).count() == 0
 
 
+def test_toxicity_is_counterfactually_even():
+    rows = [(f"we met calm people number {i} at the river".encode(), 0) for i in range(60)]
+    rows += [(f"women are number {i} loser".encode(), 1) for i in range(30)] + [(f"women number {i} whitewash".encode(), 1) for i in range(30)]
+    plain, even = toxicity.ToxicityClassifier(rows, penalty=0), toxicity.ToxicityClassifier(rows)
+    word = lambda m, w: float(m.weights[toxicity.word_features(w)].sum())
+    gaps = [[abs(word(m, b"women") - word(m, t)) for t in (b"men", b"muslims", b"elderly")] for m in (plain, even)]
+    assert max(gaps[1]) < 0.25 * min(gaps[0])
+    assert even.score(b"a loser at the river") > 0.5 > even.score(b"calm women at the river")
+    both = rows + [(f"white and black people number {i} at the river".encode(), 0) for i in range(20)]
+    assert word(toxicity.ToxicityClassifier(both), b"whitewash") > 0.5 * word(toxicity.ToxicityClassifier(both, penalty=0), b"whitewash") > 0
+    features = toxicity.word_features(b"white")
+    assert np.abs(toxicity.ToxicityClassifier(both).weights[features]).max() > 0
+
+
 def test_contamination(spark, docs, empty):
     items = [(1, PASSAGE), (2, "short item text"), (3, None), (4, ""), (10, "one two"), (None, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
