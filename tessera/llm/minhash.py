@@ -4,15 +4,19 @@ A document's set holds its distinct word shingles (lower-cased A-Z; with fewer w
 sequence is the one shingle). Documents whose exact Jaccard similarity reaches the threshold are linked; a component
 is named by its smallest doc_id.
 
-Plan: one pass makes (set digest, signature, band keys) per document; equal sets fold into one representative by a
-partially aggregated minimum; buckets of band keys are never expanded into all pairs. Each round tests every member
-of an unresolved bucket against a few pivots, merges what is confirmed on full sets, and drops the buckets whose
-members have come to share one component, while the number of pivots grows fourfold. A bucket leaves only when all
-its members are connected or all pairs of different components in it have been tested, so no candidate is dropped.
+Plan: one pass makes (set digest, signature, band keys) per row; equal sets fold into one node by a partially
+aggregated minimum; buckets of band keys are never expanded into all pairs. A small bucket's pairs are all tested, a
+larger one's members against its hub, the member with the most company. Buckets whose members then share one component
+are done; where only a few are of others, these are tested with all. The rest become families of their hub: within a family every member lists its shingles with those first
+that the hub and a few other references lack, and posts the first few of that list, as many as any partner of the size in question must meet (prefix
+filter: two sets that reach the threshold share a posted shingle). Copies alike below the threshold differ
+in shingles of their own, so postings are short; they are the next level's buckets. Only banding itself can lose a
+pair (below 1e-6 a pair at the threshold) and the comparison of signature bytes, which asks for six standard
+deviations less than the threshold.
 
 Cases: null or empty texts and texts without words have no shingles and are linked with nothing. A null doc_id is
-never linked and gets a null component (kept is true). Rows that repeat a doc_id are one node. An empty table gives
-an empty result. Extra columns are ignored.
+never linked and gets a null component (kept is true). Rows that repeat a doc_id are nodes of their own if their sets
+differ, so each has its own links. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, bounded_batches, gram_hashes, materialize, mix64, release, slices, texts_as_bytes, word_hashes
+from .common import GOLDEN, Scratch, bounded_batches, gram_hashes, mix64, release, slices, texts_as_bytes, word_hashes
 
 #: Bands and rows by threshold: at the threshold a pair misses every band with a chance below 1e-6.
 def banding(percent: int) -> tuple[int, int]:
@@ -32,9 +36,12 @@ def banding(percent: int) -> tuple[int, int]:
     return math.ceil(math.log(7e-7) / math.log(1 - (percent / 100) ** rows)), rows
 
 
-MARKS = 64  # signature positions (a byte of each) that are compared before full sets are
-BROADCAST_IDS = 300_000
-FIRST_BANDS = 6
+MARKS = 128  # signature positions (a byte of each) that are compared before full sets are
+BROADCAST_IDS = 2_000_000
+SMALL = 4  # buckets up to this size are tested pair by pair; fourfold at each further level
+BUCKETS = ["key", "id", "n", "component", "pos", "size"]
+REFERENCES = 6  # members of a family, besides its hub, that tell common shingles from rare ones
+GROWTH = 1.03  # of set sizes from class to class within a family
 LOCAL_LINKS = 200_000
 _BLOCK = 8192
 _LOW = np.uint64(0xFFFFFFFF)
@@ -97,25 +104,27 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two independent 64-bit sums over each set; with its size, equal sets have equal digests."""
+    return [pa.array([int(mix64(s ^ x).sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64()) for x in (np.uint64(0), GOLDEN)]
+
+
 def _fingerprint(width: int, bands: int, rows: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
                 sets = [shingle_set(t, width) for t in texts_as_bytes(batch.column("text"))]
                 signs = super_minhash(sets, bands * rows)
-                # two independent 64-bit sums over the set, with its size: equal sets have equal digests
-                d1 = [int(mix64(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
-                d2 = [int(mix64(s ^ GOLDEN).sum(dtype=np.uint64).view(np.int64)) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
+                        batch.column("text_hash"),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(d1, pa.int64()),
-                        pa.array(d2, pa.int64()),
+                        *_digests(sets),
                         pa.array([x.tobytes() for x in (signs[:, :MARKS] & np.uint64(0xFF)).astype(np.uint8)], pa.binary()),
                         pa.array(list(band_keys(signs, bands, rows)), pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "n", "d1", "d2", "sig", "keys"],
+                    ["doc_id", "text_hash", "n", "d1", "d2", "sig", "keys"],
                 )
         release()
 
@@ -124,12 +133,71 @@ def _fingerprint(width: int, bands: int, rows: int):
 
 def _full_sets(width: int):
     def run(batches):
+        seen: set[tuple] = set()
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
-                sets = [shingle_set(t, width).view(np.int64) for t in texts_as_bytes(batch.column("text"))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["id", "shingles"]
-                )
+                sets = [shingle_set(t, width) for t in texts_as_bytes(batch.column("text"))]
+                d1, d2 = _digests(sets)
+                names = list(zip(batch.column("doc_id").to_pylist(), d1.to_pylist(), d2.to_pylist(), strict=True))
+                new = pa.array([x not in seen and not seen.add(x) for x in names], pa.bool_())
+                out = [batch.column("doc_id"), d1, d2, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, ["rep", "d1", "d2", "shingles"]).filter(new)
+        release()
+
+    return run
+
+
+def posted(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, classes: list[int], percent: int) -> list[tuple[int, np.ndarray]]:
+    """For each size class that a partner may have, the shingles of which it must hold one: (class, shingles).
+
+    known, sorted, are the shingles of the family's references and times in how many of them each is: those in the
+    fewest come first.
+    """
+    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+    order = shingles[np.lexsort((shingles, np.where(known[at] == shingles, times[at], 0)))]
+    n, out = len(order), []
+    for c in classes:
+        # a class's sizes, with room for rounding; longer lists than needed do no harm
+        low, high = max(1, int(GROWTH**c) - 1), int(GROWTH ** (c + 1)) + 2
+        low = max(low, -(-percent * n // 100))
+        if low <= min(high, 100 * n // percent):
+            overlap = -(-percent * (n + low) // (100 + percent))
+            out.append((c, order[: max(0, n - overlap + 1)]))
+    return out
+
+
+def _profile(batches):
+    """The shingles of a family's references with the number of references that hold each."""
+    for batch in batches:
+        for family, sets in zip(batch.column("family").to_pylist(), batch.column("sets"), strict=True):
+            every, times = np.unique(np.asarray(sets.values.flatten()).view(np.uint64), return_counts=True)
+            row = [[family], [every.view(np.int64)], [times.astype(np.uint8).tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["family", "known", "times"])
+    release()
+
+
+def _postings(percent: int):
+    """(key, id, n, component, pos) of each posted shingle: the key is of family, shingle and the two size classes, pos the
+    shingle's place in the member's list, so at most n - pos shingles are shared with whom it is the first one shared.
+    """
+
+    def run(batches):
+        for batch in batches:
+            keys, rows, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            columns = {c: batch.column(c) for c in ("x", "known", "classes", "times")}
+            for i, (family, own) in enumerate(zip(batch.column("family").to_pylist(), batch.column("class").to_pylist(), strict=True)):
+                x, known, classes = (np.asarray(columns[c][i].values) for c in ("x", "known", "classes"))
+                times = np.frombuffer(columns["times"][i].as_py(), np.uint8)
+                for c, s in posted(x.view(np.uint64), known.view(np.uint64), times, sorted(classes.tolist()), percent):
+                    place = (family << 20 ^ min(own, c) << 10 ^ max(own, c)) & 0xFFFFFFFFFFFFFFFF
+                    keys.append(mix64(s * GOLDEN ^ mix64(np.array([place], np.uint64))))
+                    rows.append(np.full(len(s), i))
+                    places.append(np.arange(len(s)))
+            take = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(take) for c in ("id", "n", "component")), pa.array(np.concatenate(places))],
+                ["key", "id", "n", "component", "pos"],
+            )
         release()
 
     return run
@@ -144,7 +212,7 @@ def _likely(limit: float):
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
             keep = (a == b).mean(axis=1) >= limit
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["id", "p"]).filter(pa.array(keep))
         release()
 
     return run
@@ -177,122 +245,191 @@ def _forest(batches):
     release()
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(id, component) for the nodes of links (u, v), roots perhaps without a row.
 
     Up to LOCAL_LINKS links one union-find does; beyond that union-find within partitions thins them out, and minimum
     labels with pointer jumping follow.
     """
+    scratch = scratch or Scratch(links.sparkSession)
     if links.count() <= LOCAL_LINKS:  # a checked size: one task's union-find is then complete; roots have no row
-        return materialize(links.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("id", "component"), "labels")
-    links = materialize(links.mapInArrow(_forest, "u long, v long"), "forest")
-    both = links.union(links.select("v", "u")).toDF("u", "v")
-    labels = materialize(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
+        return scratch.save(links.coalesce(1).mapInArrow(_forest, "u long, v long").toDF("id", "component"), "labels")
+    thin = scratch.save(links.mapInArrow(_forest, "u long, v long"), "forest")
+    both = thin.union(thin.select("v", "u")).toDF("u", "v")
+    labels = scratch.save(both.groupBy(F.col("u").alias("id")).agg(F.least(F.min("v"), F.first("u")).alias("component")), "labels")
     while True:
         near = both.join(labels, both["v"] == labels["id"]).select(F.col("u").alias("id"), "component")
         low = near.union(labels.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
         up = labels.select(F.col("id").alias("component"), F.col("component").alias("over"))
         jumped = low.join(up, "component", "left").select("id", F.least("component", F.coalesce("over", "component")).alias("component"))
-        following = materialize(jumped, "labels")
+        following = scratch.save(jumped, "labels")
         changed = following.join(labels.withColumnRenamed("component", "was"), "id").filter("component <> was").limit(1).count()
+        scratch.drop(labels)
         labels = following
         if not changed:
+            scratch.drop(thin)
             return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int | None = None, rows: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of docs; see the module's docstring."""
-    bounded_batches(docs.sparkSession)
+    return _judged(docs, width, percent, bands, rows).drop("text_hash", "group")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component: of those with its smallest doc_id the one whose text has the smallest hash,
+    once. Rows without a doc_id or without words stay.
+    """
+    judged = _judged(docs, width, percent, None, None).filter("n_shingles > 0 and doc_id is not null")
+    first = judged.filter("kept").groupBy("group").agg(F.min("component_id").alias("doc_id"), F.min("text_hash").alias("first"), F.count("*").alias("rows"))
+    several = first.filter("rows > 1").select("group", "doc_id", "first")
+    gone = judged.filter(~F.col("kept")).select("doc_id", "text_hash")
+    gone = gone.union(judged.filter("kept").join(several.select("group", "first"), "group").filter("text_hash <> first").select("doc_id", "text_hash"))
+    name = next(x for i in range(len(docs.columns) + 1) if (x := f"_text_hash{i}") not in docs.columns)
+    hashed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col("_d")) & (F.col(name) == F.col("_h"))
+    rest = hashed.join(gone.toDF("_d", "_h"), same, "left_anti")
+    again = several.select(F.col("doc_id").alias("_d"), F.col("first").alias("_h"))
+    if again.isEmpty():
+        return rest.drop(name)
+    once = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", name])
+    return rest.join(again, same, "left_anti").union(once).drop(name)
+
+
+def _judged(docs: DataFrame, width: int, percent: int, bands: int | None, rows: int | None) -> DataFrame:
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    scratch = Scratch(spark)
     if bands is None or rows is None:
         bands, rows = banding(percent)
-    base = materialize(
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-            _fingerprint(width, bands, rows), "doc_id long, n long, d1 long, d2 long, sig binary, keys array<long>"
-        ),
-        "fingerprints",
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    base = texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        _fingerprint(width, bands, rows), "doc_id long, text_hash long, n long, d1 long, d2 long, sig binary, keys array<long>"
     )
+    base = scratch.save(base.withColumn("row", F.monotonically_increasing_id()), "fingerprints")
     live = base.filter("n > 0 and doc_id is not null")
-    sets = materialize(live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")), "sets")
-    reps = sets.select("d1", "d2", "n", F.col("rep").alias("doc_id")).join(base, ["d1", "d2", "n", "doc_id"]).dropDuplicates(["doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), "n", "keys"), "representatives")
-    marks = base.select("doc_id", "n", "sig").dropDuplicates(["doc_id"])
-    slack = 6 * math.sqrt(percent / 100 * (1 - percent / 100) / min(MARKS, bands * rows))
-    found, links = None, None
-    # a few bands first: they join what is very much alike, so the other bands only see buckets that are still mixed
-    for lo, hi in ((0, FIRST_BANDS), (FIRST_BANDS, bands)):
-        known = reps if found is None else reps.join(found, "id", "left")
-        component = F.col("id") if found is None else F.coalesce("component", "id")
-        exploded = known.select("id", "n", component.alias("component"), F.explode(F.slice("keys", lo + 1, hi - lo)).alias("key"))
-        mixed = (
-            exploded.groupBy("key")
-            .agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-            .filter("lo < hi")
-            .select("key", "size")
-        )
-        members = materialize(exploded.join(mixed, "key"), "buckets")
-        found, links = _links(members, marks, docs, width, percent, slack, found, links)
-    label = sets.select("d1", "d2", "n", "rep")
-    out = base.select("doc_id", "n", "d1", "d2").join(label, ["d1", "d2", "n"], "left")
-    if found is not None:
-        out = out.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    else:
-        out = out.withColumn("component", F.lit(None).cast("long"))
-    component = F.when(F.col("n") > 0, F.coalesce("component", "rep", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
-
-
-def _links(members: DataFrame, marks: DataFrame, docs: DataFrame, width: int, percent: int, slack: float, labels: DataFrame | None, confirmed: DataFrame | None) -> tuple[DataFrame | None, DataFrame | None]:
-    """(id, component) of the representatives that have links, and the links; None where there are none."""
-    pivots = 1
+    sets = scratch.save(live.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.min("row").alias("id")), "sets")
+    nodes = scratch.save(sets.join(base.select(F.col("row").alias("id"), "sig", "keys"), "id"), "nodes")
+    labels = _labels(scratch, nodes, texts, width, percent, 6 * math.sqrt(percent / 100 * (1 - percent / 100) / min(MARKS, bands * rows)))
+    scratch.drop(nodes)
+    named = sets.withColumn("component_id", F.col("rep")).withColumn("group", F.col("id"))
+    if labels is not None:
+        inside = labels.union(labels.select("component", "component")).distinct().join(sets.select("id", "rep"), "id")
+        lowest = inside.groupBy("component").agg(F.min("rep").alias("low"))
+        found = inside.join(lowest, "component").select("id", "low", "component")
+        named = sets.join(found, "id", "left").withColumn("component_id", F.coalesce("low", "rep")).withColumn("group", F.coalesce("component", "id"))
+    out = base.select("doc_id", "n", "d1", "d2", "text_hash").join(named.select("d1", "d2", "n", "component_id", "group"), ["d1", "d2", "n"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash", "group")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "group")
+
+
+def _sized(buckets: DataFrame) -> DataFrame:
+    """Buckets with members of several components, with their sizes."""
+    mixed = buckets.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    return buckets.join(mixed.filter("lo < hi").select("key", "size"), "key")
+
+
+def _labels(scratch: Scratch, nodes: DataFrame, texts: DataFrame, width: int, percent: int, slack: float) -> DataFrame | None:
+    """(id, component) of the nodes that have links; None where there are none."""
+    members = _sized(nodes.select("id", "n", F.col("id").alias("component"), F.lit(0).cast("long").alias("pos"), F.explode("keys").alias("key")))
+    members = scratch.save(members.select(*BUCKETS), "buckets")
+    full = links = labels = waiting = tried = None
+    limit = SMALL
+    # sizes, and by the place of the bucket's shingle what can still be shared, must allow the threshold
+    alike = f"100 * least(n, pn) >= {percent} * greatest(n, pn) and {100 + percent} * least(n - pos, pn - ppos) >= {percent} * (n + pn) and component <> pc"
+    other = lambda df, *more: df.select("key", *(F.col(c).alias(a) for c, a in (("id", "p"), ("n", "pn"), ("component", "pc"), ("pos", "ppos"))), *more)
     while True:
-        # Pivots: of each bucket the member that has the most company over all buckets (the text that the others are
-        # copies of, where it is there), all members of small buckets, and in later rounds about `pivots` others.
-        ranks = members.groupBy("id").agg(F.sum("size").alias("rank"))
-        best = members.join(ranks, "id").groupBy("key").agg(F.max(F.struct("rank", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))).alias("b"))
-        chosen = F.col("size") <= 4 * pivots
-        if pivots > 1:
-            chosen |= F.pmod(F.xxhash64("id", F.lit(pivots)), F.col("size")) < pivots
-        heads = members.filter(chosen).select("key", F.col("id").alias("p"), F.col("component").alias("pc"), F.col("n").alias("pn"))
-        heads = heads.union(best.select("key", "b.p", "b.pc", "b.pn")).distinct()
-        pairs = (
-            members.join(heads, "key")
-            .filter(f"id <> p and component <> pc and 100 * least(n, pn) >= {percent} * greatest(n, pn)")
-            .select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-            .distinct()
-        )
-        side = lambda x: marks.select(F.col("doc_id").alias(x), F.col("sig").alias(f"s{x}"))
-        likely = (
-            pairs.join(side("a"), "a")
-            .join(side("b"), "b")
-            .select("a", "b", "sa", "sb")
-            .mapInArrow(_likely(percent / 100 - slack), "a long, b long")
-        )
-        likely = materialize(likely, "pairs")
-        wanted = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct()
-        if wanted.count() <= BROADCAST_IDS:  # a checked size; beyond it the texts are shuffled once a round
-            wanted = F.broadcast(wanted)
-        texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
-        full = materialize(texts.mapInArrow(_full_sets(width), "id long, shingles array<long>"), "shingles")
-        common = F.size(F.array_intersect("xa", "xb")).cast("long")
-        tested = (
-            likely.join(full.toDF("b", "xb"), "b")
-            .join(full.toDF("a", "xa"), "a")
-            .select("a", "b", common.alias("common"), (F.size("xa") + F.size("xb") - common).alias("union"))
-            .filter(F.col("common") * 100 >= F.col("union") * percent)
-        )
-        new = materialize(tested.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
+        large, small = members.filter(F.col("size") > limit), members.filter(F.col("size") <= limit)
+        # the hub: of each large bucket the member with the most company (the text that the others are copies of)
+        ranks = large.groupBy("id").agg((F.sum("size") * 1048576 + F.pmod(F.xxhash64("id"), F.lit(1048576))).alias("rank"))
+        best = large.join(ranks, "id").groupBy("key").agg(*(F.max_by(c, "rank").alias(c) for c in ("id", "n", "component", "pos")), F.max("rank").alias("top"))
+        hubs = scratch.save(other(best, "top"), "hubs")
+        pairs = large.join(hubs, "key").filter(f"id <> p and {alike}").select("id", "p").union(small.join(other(small), "key").filter(f"id < p and {alike}").select("id", "p"))
+        pairs = (pairs if waiting is None else pairs.union(waiting)).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["id", "p"], "left_anti")
+        likely, new, full = _confirmed(scratch, pairs, nodes, texts, full, large.select("id"), width, percent, slack)
+        tried = likely if tried is None else tried.union(likely)
+        if waiting is not None:
+            scratch.drop(waiting)
         if not new.isEmpty():
-            confirmed = new if confirmed is None else confirmed.union(new)
-            labels = components(confirmed)
-        members = members.filter(F.col("size") > 4 * pivots)
-        if members.isEmpty():
-            return labels, confirmed
+            links = new if links is None else links.union(new)
+            if labels is not None:
+                scratch.drop(labels)
+            labels = components(links, scratch)
+        # a hub that meets a greater one in another bucket brings its buckets into that one's family
+        met = large.join(hubs.select("key", F.col("p").alias("over"), "top"), "key").join(hubs.select(F.col("p").alias("id")).distinct(), "id", "left_semi")
+        greatest = met.groupBy(F.col("id").alias("p")).agg(F.max_by("over", "top").alias("family"))
+        heads = hubs.join(greatest, "p").select("key", "family", "p", "pc")
         if labels is not None:
-            members = members.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        members = materialize(members.join(mixed.select("key"), "key", "left_semi").select("key", "id", "n", "size", "component"), "buckets")
-        if members.isEmpty():
-            return labels, confirmed
-        pivots *= 4
+            now = lambda df, x, c: df.drop(c).join(labels.toDF(x, c), x, "left").withColumn(c, F.coalesce(c, x))
+            large, heads = now(large, "id", "component"), now(heads, "p", "pc")
+        large = scratch.save(large.drop("size").join(heads.drop("p"), "key"), "buckets")
+        # buckets in which all share the hub's component are done; where few do not, these are tested with all the others
+        outside = large.filter("component <> pc").groupBy("key").agg(F.count("*").alias("size"))
+        few = outside.filter(F.col("size") <= limit).select("key")
+        outsiders = large.filter("component <> pc").drop("pc", "family").join(few, "key", "left_semi")
+        waiting = scratch.save(outsiders.join(other(large.drop("pc")), "key").filter(f"id <> p and {alike}").select(F.col("p").alias("id"), F.col("id").alias("p")).distinct(), "pairs")
+        families = large.join(outside.filter(F.col("size") > limit).select("key"), "key", "left_semi").select("family", "id", "n", "component").distinct()
+        families = scratch.save(families.withColumn("class", F.floor(F.log(GROWTH, "n"))), "families")
+        scratch.drop(members, hubs, large)
+        if families.isEmpty():
+            postings = families.select(F.col("family").alias("key"), "id", "n", "component", F.col("n").alias("pos"), F.col("n").alias("size"))
+            members = scratch.save(postings, "buckets")
+            if waiting.isEmpty():
+                scratch.drop(families, members, waiting, full)
+                return labels
+        else:
+            postings = _posted_by(scratch, families, full, percent)
+            members = scratch.save(_sized(postings).select(*BUCKETS), "buckets")
+            scratch.drop(postings)
+        scratch.drop(families)
+        limit *= 4
+
+
+def _confirmed(scratch: Scratch, pairs: DataFrame, nodes: DataFrame, texts: DataFrame, full: DataFrame | None, more: DataFrame, width: int, percent: int, slack: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Likely ones of pairs (id, p), the links (u, v) among them by full sets, and the sets, once, of all that can be
+    compared: pairs and `more`. p is the side with fewer nodes (hubs, outsiders); where its sets are small, Spark
+    broadcasts them and the other side's sets travel once.
+    """
+    likely = pairs.join(nodes.select("id", F.col("sig").alias("sa")), "id").join(nodes.select(F.col("id").alias("p"), F.col("sig").alias("sb")), "p")
+    likely = scratch.save(likely.select("id", "p", "sa", "sb").mapInArrow(_likely(percent / 100 - slack), "id long, p long"), "pairs")
+    if full is None:
+        wanted = likely.select("id").union(likely.select("p")).union(more).distinct()
+        wanted = scratch.save(nodes.select("id", "rep", "d1", "d2").join(wanted, "id"), "wanted")
+        fewer = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted  # beyond a checked size a shuffle join
+        some = texts.withColumnRenamed("doc_id", "rep").join(fewer.select("rep").distinct(), "rep", "left_semi")
+        some = some.withColumnRenamed("rep", "doc_id").mapInArrow(_full_sets(width), "rep long, d1 long, d2 long, shingles array<long>")
+        full = scratch.save(some.join(fewer, ["rep", "d1", "d2"]).select("id", "shingles"), "shingles")
+        if full.count() > wanted.count():  # rows that repeat both doc_id and text, met by several tasks
+            twice, full = full, scratch.save(full.dropDuplicates(["id"]), "shingles")
+            scratch.drop(twice)
+        scratch.drop(wanted)
+    common = F.size(F.array_intersect("xa", "xb")).cast("long")
+    pivots = scratch.save(full.toDF("p", "xb").join(likely.select("p").distinct(), "p", "left_semi"), "pivots")
+    tested = (
+        likely.join(full.toDF("id", "xa"), "id")
+        .join(pivots, "p")
+        .select(F.least("id", "p").alias("v"), F.greatest("id", "p").alias("u"), common.alias("common"), (F.size("xa") + F.size("xb") - common).alias("union"))
+        .filter(F.col("common") * 100 >= F.col("union") * percent)
+    )
+    new = scratch.save(tested.select("u", "v"), "links")
+    scratch.drop(pivots)
+    return likely, new, full
+
+
+def _posted_by(scratch: Scratch, families: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n, component, pos) of the shingles that the members of families post."""
+    classes = families.groupBy("family").agg(F.collect_set("class").alias("classes"))
+    # references: the hub and a few members by chance, so that what most members hold is known to be common
+    some = [F.max_by("id", F.xxhash64("id", F.lit(j))).alias(f"r{j}") for j in range(REFERENCES)]
+    every = F.array_distinct(F.array("family", *(f"r{j}" for j in range(REFERENCES))))
+    chosen = families.groupBy("family").agg(*some).select("family", F.explode(every).alias("id"))
+    profiles = chosen.join(full, "id").groupBy("family").agg(F.collect_list("shingles").alias("sets"))
+    profiles = scratch.save(profiles.mapInArrow(_profile, "family long, known array<long>, times binary").join(classes, "family"), "profiles")
+    held = families.join(profiles, "family").join(full.toDF("id", "x"), "id")
+    held = held.select("family", "id", "n", "component", "class", "classes", "x", "known", "times")
+    postings = scratch.save(held.mapInArrow(_postings(percent), "key long, id long, n long, component long, pos long"), "postings")
+    scratch.drop(profiles)
+    return postings

@@ -73,6 +73,60 @@ def test_large_groups_need_several_rounds(spark):
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, 3, 85)
 
 
+def family(rng, size: int, words: int, most: int, tail: bool) -> list[str]:
+    """Copies of one text with up to `most` words replaced, dropped or added, many of them just below the threshold."""
+    base, out = [f"t{i}" for i in range(words)], []
+    for d in range(size):
+        w = list(base)
+        for p in rng.choice(words, rng.integers(0, most + 1), replace=False).tolist():
+            w[p] = ["", f"v{d}_{p}", f"shared{p}", f"{w[p]} more{d % 3}"][rng.integers(0, 4)]
+        out.append(" ".join(" ".join(w[: rng.integers(words - 12, words + 1)] if tail else w).split()))
+    return out
+
+
+@pytest.mark.parametrize("width,percent,with_base", [(3, 85, True), (5, 80, False)])
+def test_copies_alike_below_the_threshold(spark, width, percent, with_base):
+    rng = np.random.default_rng(width)
+    made = family(rng, 300, 90, 8, True) + family(rng, 100, 60, 6, False) + ([" ".join(f"t{i}" for i in range(90))] if with_base else [])
+    texts = dict(enumerate(made))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = by_id(minhash.near_duplicates(df, width, percent))
+    assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == brute.components(texts, width, percent)
+
+
+def test_posted_shingles_meet():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 2**63, 400).astype(np.uint64))
+    known, times = pool[::3], rng.integers(1, 7, len(pool[::3])).astype(np.uint8)
+    cls = lambda n: int(np.floor(np.log(n) / np.log(minhash.GROWTH)))
+    met = 0
+    for percent in (80, 85):
+        for _ in range(400):
+            n = int(rng.integers(1, 120))
+            core = rng.choice(pool, n, replace=False)
+            x, y = (np.unique(np.r_[core[rng.integers(0, max(1, n // 6)) :], rng.choice(pool, rng.integers(0, n // 8 + 1))]) for _ in range(2))
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                met += 1
+                px, py = (dict(minhash.posted(a, known, times, sorted({cls(len(x)), cls(len(y))}), percent)) for a in (x, y))
+                a, b = px[cls(len(y))].tolist(), py[cls(len(x))].tolist()
+                first = next(i for i, s in enumerate(a) if s in b)
+                bound = min(len(x) - first, len(y) - b.index(a[first]))
+                assert (100 + percent) * bound >= percent * (len(x) + len(y))
+    assert met > 50
+
+
+def test_repeated_ids_are_judged_by_their_texts(spark):
+    a, b = BASE, " ".join(f"z{i}" for i in range(150))
+    rows = [(1, a, "r0"), (1, b, "r1"), (2, a + " extra", "r2"), (3, b + " extra", "r3"), (None, a, "r4"), (2, "other words here now", "r5"), (4, "four", "r6"), (4, "four", "r7"), (None, None, "r8")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text_hash0 string").repartition(3)
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.n_shingles, r.kept) for r in minhash.near_duplicates(df, 3, 85).collect())
+    n, m = 118, 148
+    assert got == sorted([(1, 1, n, True), (1, 1, m, True), (2, 1, n + 1, False), (3, 1, m + 1, False), (0, 0, n, True), (2, 2, 2, True), (4, 4, 1, True), (4, 4, 1, True), (0, 0, 0, True)])
+    kept = sorted(r._text_hash0 for r in minhash.drop_near_duplicates(df, 3, 85).collect())
+    assert kept in (["r0", "r1", "r4", "r5", "r6", "r8"], ["r0", "r1", "r4", "r5", "r7", "r8"]) and minhash.drop_near_duplicates(df).columns == df.columns
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)
