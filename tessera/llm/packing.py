@@ -3,8 +3,9 @@
 Documents are tokenised, an end id is added, and only documents longer than a sequence are cut: into full pieces, of
 which the first may be shorter. Full pieces are sequences by themselves; the others (at most one a document) are dealt
 by hash into blocks of about BLOCK documents. Each block is evolved on ISLANDS islands, a Spark group each: the genes
-are bins (groups of pieces), crossover injects whole well-filled bins of one parent into another, removes the bins
-that repeat a piece, and best-fits the displaced pieces; after each epoch every island hands its elite to the next
+are bins (groups of pieces), crossover injects whole well-filled bins of one parent into another, removes the bins that
+repeat a piece, and places the displaced pieces, first for shorter ones where that fills a bin better, then by best
+fit; mutation dissolves the emptiest bins. A block ends early at the least possible number of bins; after each epoch every island hands its elite to the next
 one (one shuffle of small integer arrays), and at the end the best grouping of the block counts.
 
 Cases: null texts are empty (the end id alone); repeated doc_ids are packed each for itself; empty tables give empty
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, slices
 from .tokens import encoder
 
-BLOCK, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 4096, 2, 2, 4, 4
+BLOCK, ISLANDS, EPOCHS, POPULATION, PATIENCE = 16384, 2, 2, 6, 12
+REPLACED = 200  # displaced pieces, the longest, that may take the place of shorter ones in a child
 
 
 def cut(length: int, capacity: int) -> list[int]:
@@ -35,18 +37,25 @@ def cut(length: int, capacity: int) -> list[int]:
     return [length - full * capacity] + [capacity] * full
 
 
-def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, bins: list[list[int]]) -> list[list[int]]:
+class Packing:
+    """Bins of pieces with their fills."""
+
+    def __init__(self, bins: list[list[int]], fills: list[int]):
+        self.bins, self.fills = bins, fills
+        self.rank = (-len(bins), sum(f * f for f in fills))  # fewer bins first; among equals, fuller bins
+
+
+def best_fit(lengths: list[int], order: list[int], capacity: int, bins: list[list[int]] = (), fills: list[int] = ()) -> Packing:
     """Put pieces, in order, where the least room stays; open bins are found by their room."""
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0  # bit r is set if a bin has room r
-    bins = [list(b) for b in bins]
-    for k, b in enumerate(bins):
-        room = capacity - int(lengths[b].sum())
-        if room:
-            by_room[room].append(k)
-            mask |= 1 << room
-    for i in order.tolist():
-        n = int(lengths[i])
+    bins, fills = [list(b) for b in bins], list(fills)
+    for k, fill in enumerate(fills):
+        if fill < capacity:
+            by_room[capacity - fill].append(k)
+            mask |= 1 << (capacity - fill)
+    for i in order:
+        n = lengths[i]
         above = mask >> n
         if above:
             room = n + (above & -above).bit_length() - 1
@@ -54,63 +63,104 @@ def best_fit(lengths: np.ndarray, order: np.ndarray, capacity: int, bins: list[l
             if not by_room[room]:
                 mask ^= 1 << room
             bins[k].append(i)
+            fills[k] += n
         else:
             room, k = capacity, len(bins)
             bins.append([i])
+            fills.append(n)
         if room > n:
             by_room[room - n].append(k)
             mask |= 1 << (room - n)
-    return bins
-
-
-def _fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> tuple[int, float]:
-    """Fewer bins first; among equals, fuller bins (sum of squared fill)."""
-    return -len(bins), sum((int(lengths[b].sum()) / capacity) ** 2 for b in bins)
-
-
-def _cross(one, two, lengths, capacity, rng):
-    fill = np.array([lengths[b].sum() for b in two])
-    good = np.flatnonzero(fill >= np.quantile(fill, 0.5))
-    chosen = rng.permutation(good)[: max(1, len(good) // 2)]
-    taken = np.zeros(len(lengths), bool)
-    child = []
-    for k in chosen.tolist():
-        child.append(two[k])
-        taken[two[k]] = True
-    lost = []
-    for b in one:
-        clash = taken[b]
-        if clash.any():
-            lost += [i for i, c in zip(b, clash.tolist(), strict=True) if not c]
+    return Packing(bins, fills)
+
+
+def _replace(lengths: list[int], lost: list[int], capacity: int, bins: list[list[int]], fills: list[int]) -> list[int]:
+    """Dominance: a displaced piece takes the place of a shorter one where the bin gets fuller; what remains displaced."""
+    for at, d in enumerate(lost[:REPLACED]):
+        n, best = lengths[d], None
+        for k, fill in enumerate(fills):
+            room = capacity - fill
+            if room:
+                for x in bins[k]:
+                    gain = n - lengths[x]
+                    if 0 < gain <= room and (best is None or room - gain < best[0]):
+                        best = (room - gain, k, x)
+                if best and best[0] == 0:
+                    break
+        if best:
+            _, k, x = best
+            bins[k] = [d if y == x else y for y in bins[k]]
+            fills[k] += n - lengths[x]
+            lost[at] = x
+    return lost
+
+
+def _rebuilt(lengths: list[int], capacity: int, kept: list[tuple[list[int], int]], lost: list[int]) -> Packing:
+    bins, fills = [list(b) for b, _ in kept], [f for _, f in kept]
+    down = sorted(lost, key=lambda i: -lengths[i])
+    return best_fit(lengths, sorted(_replace(lengths, down, capacity, bins, fills), key=lambda i: -lengths[i]), capacity, bins, fills)
+
+
+def _cross(one: Packing, two: Packing, lengths: list[int], capacity: int, rng) -> Packing:
+    """Well-filled bins of `two` go into `one`, whose bins that repeat a piece go; displaced pieces find new places."""
+    good = sorted(range(len(two.bins)), key=lambda k: -two.fills[k])[: max(1, len(two.bins) // 2)]
+    chosen = [good[k] for k in rng.permutation(len(good))[: max(1, len(good) // 2)].tolist()]
+    taken = {i for k in chosen for i in two.bins[k]}
+    kept, lost = [(two.bins[k], two.fills[k]) for k in chosen], []
+    for b, f in zip(one.bins, one.fills, strict=True):
+        if taken.isdisjoint(b):
+            kept.append((b, f))
         else:
-            child.append(b)
-    lost = np.array(lost, np.int64)
-    return best_fit(lengths, lost[np.argsort(-lengths[lost], kind="stable")], capacity, child)
+            lost += [i for i in b if i not in taken]
+    return _rebuilt(lengths, capacity, kept, lost)
+
 
+def _mutate(one: Packing, lengths: list[int], capacity: int, rng) -> Packing:
+    """The emptiest bins and a few by chance are dissolved."""
+    order = sorted(range(len(one.bins)), key=lambda k: one.fills[k])
+    gone = set(order[:2]) | set(rng.integers(0, len(order), min(64, max(2, len(order) // 12))).tolist())
+    lost = [i for k in gone for i in one.bins[k]]
+    return _rebuilt(lengths, capacity, [(b, f) for k, (b, f) in enumerate(zip(one.bins, one.fills, strict=True)) if k not in gone], lost)
 
-def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = POPULATION, generations: int = GENERATIONS) -> np.ndarray:
-    """A bin number for each piece; elites are such assignments from other islands."""
-    rng = np.random.default_rng(seed)
-    down = np.argsort(-lengths, kind="stable")
-    people = [best_fit(lengths, down, capacity, [])]
+
+def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarray], population: int = POPULATION, patience: int = PATIENCE) -> np.ndarray:
+    """A bin number for each piece; elites are such assignments from other islands.
+
+    Exactly filled bins of the best-fit-decreasing seed stay as they are; the other pieces evolve until the number of
+    bins is the least possible or no child has been better for `patience` generations.
+    """
+    rng, sizes = np.random.default_rng(seed), lengths.tolist()
+    people = [best_fit(sizes, np.argsort(-lengths, kind="stable").tolist(), capacity)]
     for a in elites:
-        order = np.argsort(a, kind="stable")
-        people.append([x.tolist() for x in np.split(order, np.flatnonzero(np.diff(a[order])) + 1)] if len(a) else [])
+        bins: list[list[int]] = [[] for _ in range(int(a.max(initial=-1)) + 1)]
+        for i, k in enumerate(a.tolist()):
+            bins[k].append(i)
+        people.append(Packing(bins, [sum(sizes[i] for i in b) for b in bins]))
+    best = max(people, key=lambda x: x.rank)
     least = -(-int(lengths.sum()) // capacity)
-    while len(people) < population:
-        noisy = np.argsort(-(lengths * rng.uniform(0.7, 1.0, len(lengths))), kind="stable")
-        people.append(best_fit(lengths, noisy, capacity, []))
-    key = lambda b: _fitness(b, lengths, capacity)
-    people.sort(key=key, reverse=True)
-    for _ in range(generations):
-        if len(people[0]) <= least:
-            break
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(_cross(people[a], people[b], lengths, capacity, rng))
-        people.sort(key=key, reverse=True)
-        people = people[:population]
+    if len(best.bins) > least:
+        full = [(b, f) for b, f in zip(best.bins, best.fills, strict=True) if f == capacity]
+        rest = sorted(i for b, f in zip(best.bins, best.fills, strict=True) if f < capacity for i in b)
+        own = [sizes[i] for i in rest]
+        place = {i: k for k, i in enumerate(rest)}
+        open_bins = [(b, f) for b, f in zip(best.bins, best.fills, strict=True) if f < capacity]
+        crowd = [Packing([[place[i] for i in b] for b, _ in open_bins], [f for _, f in open_bins])]
+        while len(crowd) < population:
+            noisy = np.argsort(-(np.array(own) * rng.uniform(0.6, 1.0, len(own))), kind="stable").tolist()
+            crowd.append(best_fit(own, noisy, capacity))
+        crowd.sort(key=lambda x: x.rank, reverse=True)
+        still = 0
+        while still < patience and len(crowd[0].bins) + len(full) > least:
+            a, b = rng.choice(len(crowd), 2, replace=False).tolist()
+            child = _mutate(crowd[min(a, b)], own, capacity, rng) if rng.random() < 0.5 else _cross(crowd[a], crowd[b], own, capacity, rng)
+            still = 0 if child.rank > crowd[0].rank else still + 1
+            if all(child.rank != x.rank for x in crowd):
+                crowd.append(child)
+                crowd.sort(key=lambda x: x.rank, reverse=True)
+                del crowd[population:]
+        best = Packing([b for b, _ in full] + [[rest[i] for i in b] for b in crowd[0].bins], [f for _, f in full] + crowd[0].fills)
     out = np.empty(len(lengths), np.int32)
-    for k, b in enumerate(people[0]):
+    for k, b in enumerate(best.bins):
         out[b] = k
     return out
 

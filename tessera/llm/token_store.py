@@ -32,7 +32,6 @@ from .tokens import encoder
 
 BLOCK = 1 << 18
 MAGIC = b"BPZ1"
-SHARD_CHARS = 64 << 20
 
 
 def shuffle_planes(ids: np.ndarray, level: int = 1) -> list[bytes]:
@@ -146,7 +145,7 @@ def _encode_to_files(folder: str, vocabulary: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None, shard_chars: int = SHARD_CHARS) -> tuple[str, list[tuple]]:
+def write_tokens(docs: DataFrame, vocabulary: str, end_id: int, folder: str | None = None) -> tuple[str, list[tuple]]:
     """Encode docs into shards. Returns the folder and its manifest: (shard, name, n_docs, n_ids, start), in order."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")

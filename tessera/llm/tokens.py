@@ -1,22 +1,37 @@
 """Whole-text tokenisation through the tokenizers library, with a cache of the pieces between single spaces.
 
-A byte-level or word-level pre-tokenizer always starts a new token at a space between two other characters, so a text
-is the sequence of its pieces there. New pieces of a batch go to the library together; texts with other arrangements
-of white space go to it whole. Special tokens' strings in a text are ordinary text.
+A byte-level or word-level pre-tokenizer always starts a new token at a space between two other characters, and at a
+line feed that stands alone, so a text is the sequence of its pieces there. A piece that isn't in the cache is cut into its pre-tokens by the vocabulary's own
+expression, and those that aren't in the cache either go to the library's model together, many in a call; the lengths
+of the tokens tell where each one ends. Pieces with characters other than Latin-1 letters, signs and line feeds, and
+texts with other arrangements of white space, go to the library whole. Special tokens' strings in a text are ordinary
+text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from itertools import repeat
 
 import numpy as np
+import regex
 
 CACHE_PIECES = 700_000
 LONGEST_PIECE = 64
-LEARN_PIECES = 2000
-FIRST = "\ufdd0"  # a noncharacter; texts that hold it go whole
-_ODD = re.compile(r"\s\x20|\x20\s|^\x20|\x20$")
+MODEL_PIECES = 5000
+FIRST = "\ufdd0"  # a noncharacter: marks what has no space before it; texts that hold it go whole
+_PLAIN = re.compile(r"[\n\x21-\x7E\xA1-\xFF]+")
+#: Fixed value: the expression of the byte-level pre-tokenizer.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_characters() -> str:
+    """The visible character that stands for each byte in a byte-level vocabulary, in order of the bytes."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in visible else next(hidden)) for b in range(256))
 
 
 class Encoder:
@@ -28,22 +43,44 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.spaced = "Ġ" in str(self.model.pre_tokenizer) or self._keeps_spaces()
-        # a line feed, or a control character as a word where white space is dropped
-        self.mark = "\n" if self.spaced else "\x01"
-        self.joiner = self.mark if self.spaced else f" {self.mark} "
-        ids = self.model.encode(self.mark, add_special_tokens=False).ids
-        self.mark_id = ids[0] if len(ids) == 1 else None
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.spaced = self._keeps_spaces()
+        self.cutter = self._cutter(spec)
+        if self.cutter:
+            bare = spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}}
+            self.bare = Tokenizer.from_str(json.dumps(bare))
+            end = spec["model"].get("end_of_word_suffix") or ""
+            words = spec["model"]["vocab"]
+            self.length = np.zeros(max(words.values()) + 1, np.int64)
+            for w, i in words.items():
+                self.length[i] = len(w.removesuffix(end)) if end else len(w)
+            self.byte_map = str.maketrans({b: c for b, c in enumerate(byte_characters())})
         self.clear()
 
     def _keeps_spaces(self) -> bool:
         return self.model.encode(" a", add_special_tokens=False).ids != self.model.encode("a", add_special_tokens=False).ids
 
+    def _cutter(self, spec: dict):
+        """The pre-tokenizer's expression where it is one whose effect on plain pieces is known; else None."""
+        before, normal, model = spec["pre_tokenizer"] or {}, spec["normalizer"], spec["model"]
+        if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix"):
+            return None
+        if before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"] and normal is None:
+            self.lower = False
+            return regex.compile(BYTE_LEVEL)
+        steps, kinds = before.get("pretokenizers", []), [n["type"] for n in (normal or {}).get("normalizers", [])]
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and "Regex" in steps[0]["pattern"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]:
+            if not steps[1]["use_regex"] and not steps[1]["add_prefix_space"] and kinds == ["NFC", "Replace", "Lowercase"]:
+                self.lower = True
+                return regex.compile(steps[0]["pattern"]["Regex"])
+        return None
+
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
         self.start, self.size, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
-        self.uses = np.zeros(1 << 14, np.int64)
+        self.uses = np.zeros(1 << 14, np.int32)
 
     def shrink(self) -> None:
         """Keep the pieces met most often, up to half of the bound."""
@@ -53,10 +90,7 @@ class Encoder:
         while (uses >= least).sum() > CACHE_PIECES // 2:
             least += 1
         kept = [(p, k) for p, k in self.of.items() if uses[k] >= least]
-        places = np.array([k for _, k in kept], np.int64)
-        sizes = self.size[places]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.start[places] - (ends - sizes), sizes) + np.arange(sizes.sum())]
+        ids, sizes = self._gather(np.array([k for _, k in kept], np.int64))
         self.clear()
         self._store([p for p, _ in kept], ids, sizes)
 
@@ -65,7 +99,7 @@ class Encoder:
         k, n = len(self.of), len(pieces)
         while k + n > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.uses), np.int64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(self.uses), np.int32)])
         while self.used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.of.update(zip(pieces, range(k, k + n), strict=True))
@@ -74,65 +108,127 @@ class Encoder:
         self.flat[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def _find(self, pieces: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.of.get, pieces, repeat(-1)), np.int64, len(pieces))
+
+    def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, end to end, and how many each has."""
+        sizes = self.size[places]
+        ends = np.cumsum(sizes)
+        take = np.repeat(self.start[places] - (ends - sizes), sizes)
+        take += np.arange(len(take))
+        return self.flat[take], sizes
+
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _text(self, piece: str) -> str:
-        if not self.spaced:
+        if not self.spaced or piece.startswith("\n"):
             return piece
         return piece[len(FIRST) :] if piece.startswith(FIRST) else " " + piece
 
+    def _refused(self, piece: str) -> bool:
+        """Long pieces, and those with white space beside the space between pieces (a lone line feed starts a piece)."""
+        if len(piece) > LONGEST_PIECE or not self.spaced:
+            return len(piece) > LONGEST_PIECE
+        return not piece or piece[0].isspace() and piece[0] != "\n" or piece[-1].isspace() and piece != "\n"
+
     def _learn(self, pieces: list[str]) -> None:
-        """New pieces go to the library in long texts, kept apart by a mark that is a token of its own."""
-        safe = [p for p in pieces if self.mark not in p]
-        if len(safe) < len(pieces) or self.mark_id is None:
-            rest = [p for p in pieces if self.mark in p] if self.mark_id is not None else pieces
-            for piece, ids in zip(rest, self._whole([self._text(p) for p in rest]), strict=True):
-                self._store([piece], np.array(ids, np.uint32), np.array([len(ids)]))
-            if self.mark_id is None:
-                return
-        parts = [safe[i : i + LEARN_PIECES] for i in range(0, len(safe), LEARN_PIECES)]
-        for part, ids in zip(parts, self._whole([self.joiner.join(map(self._text, p)) for p in parts]), strict=True):
-            ids = np.array(ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(part) - 1:
-                raise ValueError("the mark isn't a token of its own")
-            sizes = np.diff(np.r_[-1, ends, len(ids)]) - 1
-            self._store(part, ids[ids != self.mark_id], sizes)
+        easy = [p for p in pieces if p.isascii() and p.isalpha() and (not self.lower or p.islower())] if self.cutter else []
+        self._learn_words(easy)
+        pieces = [p for p in pieces if p not in self.of] if easy else pieces
+        texts = list(map(self._text, pieces))
+        plain = [bool(self.cutter and _PLAIN.fullmatch(t, 1 if t.startswith(" ") else 0)) for t in texts]
+        for piece, ids in self._in_library([(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if not ok]):
+            self._store([piece], np.array(ids, np.uint32), np.array([len(ids)]))
+        cut = self.cutter.findall if self.cutter else None
+        joined, parts, counts, new = [], [], [], {}
+        for piece, text, ok in zip(pieces, texts, plain, strict=True):
+            if not ok:
+                continue
+            own = cut(text.lower() if self.lower else text)
+            if self.spaced:
+                own = [p[1:] if p[0] == " " else p if p[0] == "\n" else FIRST + p for p in own]
+            if len(own) == 1 and own[0] == piece:
+                new[piece] = None
+            else:
+                joined.append(piece)
+                parts += own
+                counts.append(len(own))
+        have = self._find(parts)
+        new.update(dict.fromkeys(parts[j] for j in np.flatnonzero(have < 0)))
+        self._learn_words([p for p in new if p not in self.of])
+        if not joined:
+            return
+        missing = np.flatnonzero(have < 0)
+        have[missing] = self._find([parts[j] for j in missing])
+        self.uses[have] += 1
+        ids, sizes = self._gather(have)
+        ends = np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(counts)]]
+        mine = [j for j, p in enumerate(joined) if p not in self.of]  # a pre-token of another piece may be one itself
+        if len(mine) < len(joined):
+            ids = np.concatenate([ids[:0], *(ids[ends[j] : ends[j + 1]] for j in mine)])
+        self._store([joined[j] for j in mine], ids, np.diff(ends)[mine])
+
+    def _in_library(self, rest: list[tuple[str, str]]):
+        return zip((p for p, _ in rest), self._whole([t for _, t in rest]), strict=True)
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Pre-tokens by the model alone, thousands in a call."""
+        space, easy = "\u0120" * self.spaced, lambda w: w.isascii() and w.isalpha()  # letters stand for themselves
+        shown = [space + w if easy(w) else self._text(w).encode().decode("latin-1").translate(self.byte_map) for w in words]
+        sizes = np.fromiter(map(len, shown), np.int64, len(shown))
+        for i in range(0, len(words), MODEL_PIECES):
+            ids = np.array(self.bare.encode_batch_fast(["\n".join(shown[i : i + MODEL_PIECES])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum(sizes[i : i + MODEL_PIECES])
+            at = np.searchsorted(np.cumsum(self.length[ids]), ends, side="left") + 1
+            if len(ids) != at[-1] or self.length[ids].sum() != ends[-1]:
+                raise ValueError("the model's tokens don't spell its input")
+            self._store(words[i : i + MODEL_PIECES], ids, np.diff(np.r_[0, at]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.of) > CACHE_PIECES:
             self.shrink()
         out: list = [None] * len(texts)
-        odd, cut = [], []
+        odd, cut, every, counts = [], [], [], []
         for i, text in enumerate(texts):
-            pieces = text.split(" ")
             if self.spaced:
-                if _ODD.search(text) or FIRST in text:
+                if FIRST in text:
                     odd.append(i)
                     continue
-                pieces[0] = FIRST + pieces[0]  # the other pieces stand for themselves with the space before them
-            if max(map(len, pieces)) > LONGEST_PIECE:
-                odd.append(i)
+                if "\n" in text:
+                    if "\n\n" not in text:
+                        text = text.replace("\n", " \n")
+                    elif " \n" in text:
+                        odd.append(i)
+                        continue
+                text = FIRST + text  # the other pieces stand for themselves with the space before them
             else:
-                cut.append((i, pieces))
+                text = text.replace("\n", " ")
+            pieces = text.split(" ")
+            cut.append(i)
+            every += pieces
+            counts.append(len(pieces))
+        places = self._find(every)
+        missing = np.flatnonzero(places < 0)
+        new = dict.fromkeys(every[j] for j in missing)
+        refused = {p for p in new if self._refused(p)}
+        self._learn([p for p in new if p not in refused])
+        places[missing] = self._find([every[j] for j in missing])
+        owner = np.repeat(np.arange(len(cut)), counts)
+        if refused:  # texts with such pieces, which aren't kept, go whole
+            whole = np.unique(owner[missing[places[missing] < 0]])
+            odd += [cut[j] for j in whole]
+            places[np.isin(owner, whole)] = 0
+        if len(places) and len(self.of):
+            self.uses[places] += 1
+            ids, sizes = self._gather(places)
+            ends = np.cumsum(np.bincount(owner, sizes, len(cut)).astype(np.int64))
+            for i, lo, hi in zip(cut, np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                out[i] = ids[lo:hi]
         if odd:
             for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
                 out[i] = np.array(ids, np.uint32)
-        get = self.of.get
-        new: dict[str, None] = {}
-        for _, pieces in cut:
-            new.update(dict.fromkeys(p for p in pieces if p not in self.of))
-        if new:
-            self._learn(list(new))
-        for i, pieces in cut:
-            k = np.fromiter(map(get, pieces), np.int64, len(pieces))
-            self.uses[k] += 1
-            sizes = self.size[k]
-            ends = np.cumsum(sizes)
-            take = np.repeat(self.start[k] - (ends - sizes), sizes)
-            take += np.arange(ends[-1])
-            out[i] = self.flat[take]
         return out
 
 

@@ -211,6 +211,37 @@ def test_packing_is_near_the_bound():
     assert fill.max() <= 1024 and len(fill) <= np.ceil(n.sum() / 1024) * 1.01
 
 
+def test_islands_beat_best_fit():
+    rng, n = np.random.default_rng(0), []
+    for _ in range(60):  # triples that fill a sequence exactly: the least possible number is known
+        a, b = rng.integers(260, 380, 2).tolist()
+        n += [a, b, 1024 - a - b]
+    n = np.array(n)
+    plain = packing.best_fit(n.tolist(), np.argsort(-n, kind="stable").tolist(), 1024)
+    first = [packing.evolve(n, 1024, s, []) for s in (1, 2)]
+    then = [packing.evolve(n, 1024, s, [first[1 - s]]) for s in (0, 1)]
+    assert all(sorted(np.bincount(x, n)) == sorted(np.bincount(x, n)) and np.bincount(x, n).max() <= 1024 for x in first + then)
+    counts = [int(x.max()) + 1 for x in first + then]
+    assert 60 <= min(counts) < len(plain.bins) and max(counts[2:]) <= max(counts[:2])
+
+
+def test_encoder_agrees_with_the_library():
+    from tessera.llm import tokens
+
+    odd = ["", "a", " a", "a  b", "\n", "a\n b", "x" * 5000 + " y", "été naïve Straße ÀÉ½²", "don't I'LL we've 'sx", "a1b22 3½", "a\u0301 á", "İ ſ K", "中文 字", "<|endoftext|> x"]
+    odd += ["\u00a0a b\u00ad", "\ufdd0 x", "tab\there", "a\r\nb", "''s 'S", "μ µ", "𝄞 x", ".", " .", "a. b.\n\nc", "\na", "a\n", "a\nb\nc", "a\n\n\nb", "a\t\nb", "a \nb", "a\n\tb", "\n\n", "a.\n's b", "\x01 a\x1fb \x85 c"]
+    rng = np.random.default_rng(4)
+    odd += ["".join(rng.choice(list("abC'sé.,!9½ \n\t\u00a0\u0301"), rng.integers(1, 40))) for _ in range(1500)]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = tokens.Encoder(vocabulary(name))
+        want = [np.array(x, np.uint32) for x in own._whole(odd)]
+        assert own.cutter is not None
+        for _ in range(2):
+            got = own.encode(odd)
+            assert [t for t, a, b in zip(odd, got, want, strict=True) if not np.array_equal(a, b)] == []
+            own.shrink()
+
+
 def test_classifiers(spark, docs, empty):
     rows = [((f"you are a nice calm person {i} indeed " * 3).encode(), 0) for i in range(60)] + [((f"you are a calm loser {i} indeed " * 3).encode(), 1) for i in range(60)]
     tox = toxicity.ToxicityClassifier(rows)
