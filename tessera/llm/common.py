@@ -88,6 +88,19 @@ def release() -> None:
         pass
 
 
+PACKED = "_packed_columns"
+
+
+def pack_columns(docs: DataFrame, *free: str) -> DataFrame:
+    """The free columns of docs and one struct of all others, so that no column an operator adds can clash with them."""
+    rest = [c for c in docs.columns if c not in free]
+    return docs.select(*free, F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(0).alias("_" * (max(map(len, docs.columns)) + 1))).alias(PACKED))
+
+
+def unpack_columns(df: DataFrame, columns: list[str], *free: str) -> DataFrame:
+    return df.select(*(F.col(c) if c in free else F.col(f"{PACKED}.`{c}`") for c in columns))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, Scratch, bounded_batches, gram_hashes, mix64, release, slices, texts_as_bytes, word_hashes
+from .common import GOLDEN, Scratch, bounded_batches, gram_hashes, mix64, pack_columns, release, slices, texts_as_bytes, unpack_columns, word_hashes
 
 #: Bands and rows by threshold: at the threshold a pair misses every band with a chance below 1e-6.
 def banding(percent: int) -> tuple[int, int]:
@@ -285,15 +285,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     several = first.filter("rows > 1").select("group", "doc_id", "first")
     gone = judged.filter(~F.col("kept")).select("doc_id", "text_hash")
     gone = gone.union(judged.filter("kept").join(several.select("group", "first"), "group").filter("text_hash <> first").select("doc_id", "text_hash"))
-    name = next(x for i in range(len(docs.columns) + 1) if (x := f"_text_hash{i}") not in docs.columns)
-    hashed = docs.withColumn(name, F.xxhash64(F.col("text").cast("string")))
-    same = (F.col("doc_id").cast("long") == F.col("_d")) & (F.col(name) == F.col("_h"))
+    hashed = pack_columns(docs, "doc_id", "text").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    same = (F.col("doc_id").cast("long") == F.col("_d")) & (F.col("_hash") == F.col("_h"))
     rest = hashed.join(gone.toDF("_d", "_h"), same, "left_anti")
     again = several.select(F.col("doc_id").alias("_d"), F.col("first").alias("_h"))
     if again.isEmpty():
-        return rest.drop(name)
-    once = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", name])
-    return rest.join(again, same, "left_anti").union(once).drop(name)
+        return unpack_columns(rest, docs.columns, "doc_id", "text")
+    once = rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return unpack_columns(rest.join(again, same, "left_anti").union(once), docs.columns, "doc_id", "text")
 
 
 def _judged(docs: DataFrame, width: int, percent: int, bands: int | None, rows: int | None) -> DataFrame:

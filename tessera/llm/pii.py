@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import pack_columns, unpack_columns
+
 #: The base formats. A cheap test that any text with a match passes stands before each.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -289,7 +291,8 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in capitals and angle brackets (overlapping spans become one), n_chars adjusted."""
-    names = docs.columns
+    names, free = docs.columns, ["text"] + ["n_chars"] * ("n_chars" in docs.columns)
+    docs = pack_columns(docs, *free)
     rows = spans_of(docs.withColumn("_text", F.col("text").cast("string")), "_text")
     tagged = F.array_sort(F.concat(*(F.transform(_all_of(k), _tagger(k)) for k in KINDS)))
     rows = rows.withColumn("_all", F.coalesce(tagged, F.array().cast("array<struct<start:int,end:int,kind:string>>")))
@@ -307,4 +310,4 @@ def redact(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("text", clean)
     if "n_chars" in names:
         rows = rows.withColumn("n_chars", F.when(F.col("_done").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*names)
+    return unpack_columns(rows, names, *free)

@@ -4,8 +4,9 @@ The dictionaries hold labelled texts of each class. A text is compressed whole w
 normalised size difference, with the plain ratio and their products, becomes a score by logistic calibration on
 labelled rows that are in neither dictionary.
 
-Bounds: TRAIN_ROWS labelled rows at most (those with the smallest hash of doc_id; the share of each class follows the
-data), of whose texts the dictionaries take DICT_BYTES a class. Every text is scored whole.
+Bounds: TRAIN_ROWS labelled rows of SAMPLE_BYTES in all at most (those with the smallest hash of doc_id; the share of
+each class follows the data). The dictionaries take DICT_BYTES a class, an eighth of that from one text: a longer one
+stands in it with slices spread over its whole length. Every text is scored whole.
 
 Cases: null texts are empty and get a score too; without labels of both classes the score is the share of label 1 (0.5
 without labels); several labels of a document count as its mean; an empty table gives an empty result.
@@ -22,16 +23,35 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, release, slices, texts_as_bytes
 
-TRAIN_ROWS, DICT_BYTES, LEVEL = 4000, 112 << 10, 3
+TRAIN_ROWS, SAMPLE_BYTES, DICT_BYTES, LEVEL = 4000, 48 << 20, 112 << 10, 3
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int) -> list[tuple[bytes, int]]:
-    """Up to `rows` labelled texts, those with the smallest hash of doc_id; `keep` says which ids may be learnt from."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep, rows: int, size: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """Up to `rows` labelled texts of `size` bytes in all, those with the smallest hash of doc_id; `keep` says which ids
+    may be learnt from. Of several texts with a doc_id the smallest one counts.
+    """
     marked = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep("doc_id")).groupBy("doc_id").agg(F.avg(label).alias("y"))
-    ids = docs.select("doc_id").join(marked, "doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("long")), "doc_id").limit(rows)
-    got = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y").collect()
-    got.sort(key=lambda r: (r.doc_id, r.text or ""))
-    return [((r.text or "").encode(), int(r.y >= 0.5)) for r in got]
+    order = (F.xxhash64(F.col("doc_id").cast("long")), F.col("doc_id"))
+    ids = docs.select("doc_id").join(marked, "doc_id").distinct().orderBy(*order).limit(rows)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy(*order)
+    got, used = [], 0
+    for r in found.toLocalIterator():
+        text = (r.text or "").encode()
+        used += len(text)
+        if got and used > size:
+            break
+        got.append((r.doc_id, text, int(r.y >= 0.5)))
+    got.sort(key=lambda r: (r[0], r[1]))
+    return [r[1:] for r in got]
+
+
+def spread(text: bytes, size: int, parts: int = 8) -> bytes:
+    """At most about `size` bytes of a text: all of it, or `parts` slices at equal distances from its start to its end."""
+    if len(text) <= size:
+        return text
+    own = size // parts
+    return b"\n".join(text[k * (len(text) - own) // (parts - 1) :][:own] for k in range(parts))
 
 
 class CompressionClassifier:
@@ -45,7 +65,7 @@ class CompressionClassifier:
         for c in (1, 0):
             data, used = b"", 0
             while used < len(classes[c]) // 2 and len(data) < dict_bytes:
-                data += classes[c][used][: dict_bytes // 8] + b"\n"
+                data += spread(classes[c][used], dict_bytes // 8) + b"\n"
                 used += 1
             self.dicts.append(data[:dict_bytes])
             rest += [(t, c) for t in classes[c][used:]]

@@ -7,7 +7,7 @@ also has the squared change of that evidence, and of the regression's own sum, b
 are swapped for others of their language (another one each epoch, seen in training or not), so that naming a group
 isn't evidence. No weight is masked.
 
-Bounds: TRAIN_ROWS labelled rows at most (quality.labelled_sample), of which every word is used; 2**BITS weights.
+Bounds: TRAIN_ROWS labelled rows of quality.SAMPLE_BYTES in all at most, of which every word is used; 2**BITS weights.
 Cases: null and empty texts get the score of no evidence; without labels of both classes every text gets the share of
 label 1 (0 without labels); an empty table gives an empty result.
 """

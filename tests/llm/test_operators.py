@@ -256,6 +256,18 @@ def test_classifiers(spark, docs, empty):
     assert quality.append_scores(empty, toxicity.train(empty, labels, lambda c: labels[c].isNotNull())).count() == 0
 
 
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 40} {i // 40}") for i in range(120)] + [(50, None), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(45)] * 3 + [(50, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", lambda c: labels[c] >= 0, 1000)
+    assert sorted(got) == sorted([(f"text {i} 0".encode(), i % 2) for i in range(40)] + [(b"", 1)])
+    assert len(quality.labelled_sample(docs, labels, "quality", lambda c: labels[c] >= 0, 7)) == 7
+    assert 1 <= len(quality.labelled_sample(docs, labels, "quality", lambda c: labels[c] >= 0, 1000, size=60)) < 10
+    long = b"".join(b"%05d" % i for i in range(4000))
+    part = quality.spread(long, 800)
+    assert len(part) <= 808 and part[:5] == b"00000" and part[-5:] == b"03999" and quality.spread(b"abc", 3) == b"abc"
+
+
 def test_toxicity_is_counterfactually_even():
     rows = [(f"we met calm people number {i} at the river".encode(), 0) for i in range(60)]
     rows += [(f"women are number {i} loser".encode(), 1) for i in range(30)] + [(f"women number {i} whitewash".encode(), 1) for i in range(30)]
