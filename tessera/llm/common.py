@@ -79,8 +79,14 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def release() -> None:
-    """Give memory that Arrow and the allocator have kept back at the end of a task; the worker lives on."""
+#: What workers keep from task to task; tasks of other kinds let it go.
+CACHES: list[dict] = []
+
+
+def release(caches: bool = True) -> None:
+    """Give back memory that Arrow, the allocator and caches have kept, at the start or end of a task; the worker lives on."""
+    for cache in CACHES if caches else ():
+        cache.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM_TABLE, gram_hashes, materialize, slices, texts_as_bytes, word_hashes
+from .common import ALNUM_TABLE, gram_hashes, materialize, release, slices, texts_as_bytes, word_hashes
 
 GRAM, WINDOW = 6, 5
 SPAN = GRAM + WINDOW - 1
@@ -140,6 +140,7 @@ def _judge(index, names: list[str]):
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
     def run(batches):
+        release()
         own = index.value
         for whole in batches:
             for batch in slices(whole):
@@ -157,6 +158,7 @@ def _judge(index, names: list[str]):
 
 def _collect_hits(index):
     def run(batches):
+        release()
         own = index.value
         for whole in batches:
             for batch in slices(whole):

@@ -111,6 +111,7 @@ def _digests(sets: list[np.ndarray]) -> list[pa.Array]:
 
 def _fingerprint(width: int, bands: int, rows: int):
     def run(batches):
+        release()
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
                 sets = [shingle_set(t, width) for t in texts_as_bytes(batch.column("text"))]
@@ -133,6 +134,7 @@ def _fingerprint(width: int, bands: int, rows: int):
 
 def _full_sets(width: int):
     def run(batches):
+        release()
         seen: set[tuple] = set()
         for whole in batches:
             for batch in slices(whole, limit=1 << 20):
@@ -182,6 +184,7 @@ def _postings(percent: int):
     """
 
     def run(batches):
+        release()
         for batch in batches:
             keys, rows, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             columns = {c: batch.column(c) for c in ("x", "known", "classes", "times")}

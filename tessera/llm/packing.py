@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices
+from .common import Scratch, release, slices
 from .tokens import encoder
 
 BLOCK, ISLANDS, EPOCHS, POPULATION, PATIENCE = 16384, 2, 2, 6, 12
@@ -183,6 +183,7 @@ def _tokenise(vocabulary: str, end_id: int, capacity: int):
                     [pa.array([docs[r] for r in columns[0]], pa.int64()), *(pa.array(c, pa.int64()) for c in columns)],
                     ["doc_id", "_row", "piece", "start", "length", "ids_crc32"],
                 )
+        release(caches=False)
 
     return run
 
@@ -191,15 +192,17 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, bl
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_row", F.monotonically_increasing_id())
     pieces = rows.mapInArrow(_tokenise(vocabulary, end_id, capacity), "doc_id long, _row long, piece long, start long, length long, ids_crc32 long")
-    pieces = materialize(pieces, "pieces")
+    scratch = Scratch(docs.sparkSession)
+    pieces = scratch.save(pieces, "pieces")
     small = pieces.filter(F.col("length") < capacity)
     blocks = max(1, -(-small.count() // block))
     small = small.withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(blocks)))
     groups = small.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_row", F.col("length").cast("int").alias("length")))).alias("x"))
-    groups = materialize(groups.select("_block", F.col("x._row").alias("ids"), F.col("x.length").alias("lengths")), "blocks")
+    groups = scratch.save(groups.select("_block", F.col("x._row").alias("ids"), F.col("x.length").alias("lengths")), "blocks")
 
     def evolved(epoch: int):
         def run(batches):
+            release()
             for batch in batches:
                 pdf = batch.to_pandas()
                 got = [
@@ -220,7 +223,9 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, bl
             moved = elite.select("_block", F.pmod(F.col("island") + 1, F.lit(islands).cast("long")).alias("island"), "elite")
             start = spread.join(moved, ["_block", "island"])
         dealt = start.select("_block", "island", "lengths", "elite").repartition(max(1, min(blocks * islands, 4096)), "_block", "island")
-        elite = materialize(dealt.mapInArrow(evolved(epoch), "_block long, island long, elite array<int>, n_bins long"), "elites")
+        last, elite = elite, scratch.save(dealt.mapInArrow(evolved(epoch), "_block long, island long, elite array<int>, n_bins long"), "elites")
+        if last is not None:
+            scratch.drop(last)
     best = elite.groupBy("_block").agg(F.min(F.struct("n_bins", "island")).alias("b")).select("_block", "b.island")
     chosen = elite.join(best, ["_block", "island"]).join(groups, "_block")
 

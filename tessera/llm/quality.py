@@ -112,6 +112,7 @@ def append_scores(docs: DataFrame, model, name: str = "_score") -> DataFrame:
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches):
+        release()
         score = shared.value.score
         for whole in batches:
             for batch in slices(whole):

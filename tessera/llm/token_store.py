@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, slices
+from .common import fresh_path, release, slices
 from .tokens import encoder
 
 BLOCK = 1 << 18
@@ -140,6 +140,7 @@ def _encode_to_files(folder: str, vocabulary: str, end_id: int):
             n_docs, n_ids = writer.close()
             sink.close()
             fs.move(f"{root}/.{name}", f"{root}/{name}")
+            release(caches=False)
             yield pa.RecordBatch.from_pydict({"shard": [part], "name": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     return run
@@ -167,6 +168,7 @@ def read_tokens(spark, folder: str, manifest: list[tuple], with_ids: bool = Fals
     """(doc_id, start, n_tokens, ids_crc32[, ids]) of each document, decoded from the files."""
 
     def run(batches):
+        release()
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name, start in zip(batch.column("name").to_pylist(), batch.column("start").to_pylist(), strict=True):

@@ -18,7 +18,9 @@ from itertools import repeat
 import numpy as np
 import regex
 
-CACHE_PIECES = 700_000
+from .common import CACHES
+
+CACHE_PIECES = 400_000
 LONGEST_PIECE = 64
 MODEL_PIECES = 5000
 FIRST = "\ufdd0"  # a noncharacter: marks what has no space before it; texts that hold it go whole
@@ -56,6 +58,7 @@ class Encoder:
             for w, i in words.items():
                 self.length[i] = len(w.removesuffix(end)) if end else len(w)
             self.byte_map = str.maketrans({b: c for b, c in enumerate(byte_characters())})
+        del spec
         self.clear()
 
     def _keeps_spaces(self) -> bool:
@@ -233,6 +236,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+CACHES.append(_ENCODERS)
 
 
 def encoder(path: str) -> Encoder:
