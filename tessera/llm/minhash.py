@@ -149,23 +149,22 @@ def _full_sets(width: int):
     return run
 
 
-def posted(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, classes: list[int], percent: int) -> list[tuple[int, np.ndarray]]:
-    """For each size class that a partner may have, the shingles of which it must hold one: (class, shingles).
+def posted(shingles: np.ndarray, known: np.ndarray, times: np.ndarray, classes: list[int], percent: int) -> np.ndarray:
+    """The shingles of which any partner must hold one that posts it too; classes are those of the family's set sizes.
 
     known, sorted, are the shingles of the family's references and times in how many of them each is: those in the
     fewest come first.
     """
     at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
     order = shingles[np.lexsort((shingles, np.where(known[at] == shingles, times[at], 0)))]
-    n, out = len(order), []
+    n, most = len(order), 0
     for c in classes:
         # a class's sizes, with room for rounding; longer lists than needed do no harm
         low, high = max(1, int(GROWTH**c) - 1), int(GROWTH ** (c + 1)) + 2
         low = max(low, -(-percent * n // 100))
         if low <= min(high, 100 * n // percent):
-            overlap = -(-percent * (n + low) // (100 + percent))
-            out.append((c, order[: max(0, n - overlap + 1)]))
-    return out
+            most = max(most, n + 1 - -(-percent * (n + low) // (100 + percent)))
+    return order[:most]
 
 
 def _profile(batches):
@@ -179,8 +178,8 @@ def _profile(batches):
 
 
 def _postings(percent: int):
-    """(key, id, n, component, pos) of each posted shingle: the key is of family, shingle and the two size classes, pos the
-    shingle's place in the member's list, so at most n - pos shingles are shared with whom it is the first one shared.
+    """(key, id, n, component, pos) of each posted shingle: the key is of family and shingle, pos the shingle's place in the
+    member's list, so at most n - pos shingles are shared with whom it is the first one shared.
     """
 
     def run(batches):
@@ -188,14 +187,13 @@ def _postings(percent: int):
         for batch in batches:
             keys, rows, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             columns = {c: batch.column(c) for c in ("x", "known", "classes", "times")}
-            for i, (family, own) in enumerate(zip(batch.column("family").to_pylist(), batch.column("class").to_pylist(), strict=True)):
+            for i, family in enumerate(batch.column("family").to_pylist()):
                 x, known, classes = (np.asarray(columns[c][i].values) for c in ("x", "known", "classes"))
                 times = np.frombuffer(columns["times"][i].as_py(), np.uint8)
-                for c, s in posted(x.view(np.uint64), known.view(np.uint64), times, sorted(classes.tolist()), percent):
-                    place = (family << 20 ^ min(own, c) << 10 ^ max(own, c)) & 0xFFFFFFFFFFFFFFFF
-                    keys.append(mix64(s * GOLDEN ^ mix64(np.array([place], np.uint64))))
-                    rows.append(np.full(len(s), i))
-                    places.append(np.arange(len(s)))
+                s = posted(x.view(np.uint64), known.view(np.uint64), times, classes.tolist(), percent)
+                keys.append(mix64(s * GOLDEN ^ mix64(np.array([family], np.int64).view(np.uint64))))
+                rows.append(np.full(len(s), i))
+                places.append(np.arange(len(s)))
             take = pa.array(np.concatenate(rows))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(keys).view(np.int64)), *(batch.column(c).take(take) for c in ("id", "n", "component")), pa.array(np.concatenate(places))],
@@ -431,7 +429,7 @@ def _posted_by(scratch: Scratch, families: DataFrame, full: DataFrame, percent:
     profiles = chosen.join(full, "id").groupBy("family").agg(F.collect_list("shingles").alias("sets"))
     profiles = scratch.save(profiles.mapInArrow(_profile, "family long, known array<long>, times binary").join(classes, "family"), "profiles")
     held = families.join(profiles, "family").join(full.toDF("id", "x"), "id")
-    held = held.select("family", "id", "n", "component", "class", "classes", "x", "known", "times")
+    held = held.select("family", "id", "n", "component", "classes", "x", "known", "times")
     postings = scratch.save(held.mapInArrow(_postings(percent), "key long, id long, n long, component long, pos long"), "postings")
     scratch.drop(profiles)
     return postings

@@ -108,8 +108,7 @@ def test_posted_shingles_meet():
             both = len(np.intersect1d(x, y))
             if 100 * both >= percent * (len(x) + len(y) - both):
                 met += 1
-                px, py = (dict(minhash.posted(a, known, times, sorted({cls(len(x)), cls(len(y))}), percent)) for a in (x, y))
-                a, b = px[cls(len(y))].tolist(), py[cls(len(x))].tolist()
+                a, b = (minhash.posted(a, known, times, sorted({cls(len(x)), cls(len(y))}), percent).tolist() for a in (x, y))
                 first = next(i for i, s in enumerate(a) if s in b)
                 bound = min(len(x) - first, len(y) - b.index(a[first]))
                 assert (100 + percent) * bound >= percent * (len(x) + len(y))
