@@ -421,3 +421,4 @@ def cube_counts(spark, sf_dir):
 
 
 _ = T
+from . import function_queries  # noqa: E402, F401  registers its queries
