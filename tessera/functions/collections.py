@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import d, define_all, fail, guard, i, lam, trait
+from .registry import d, define_all, fail, guard, i, lam, let, trait
 from .scalar import clip_index
 
 
@@ -84,6 +84,11 @@ def order(a, down=False, less=None) -> Column:
     return F.transform(F.array_sort(numbered(a), by), lambda s: s["k"])
 
 
+def best_place(a, less) -> Column:
+    """The position of the first item that no other one is less than, by one pass."""
+    return F.aggregate(upto(size(a)), F.lit(0), lambda best, k: F.when(less(at(a, k), at(a, best)), k).otherwise(best))
+
+
 def first_n(a, n) -> Column:
     return guard(n < 0, 15160, "n < 0", F.slice(a, F.lit(1), F.greatest(n, F.lit(0))))
 
@@ -118,9 +123,18 @@ def ntile(a, p):
 
 
 def mode(a):
-    s = F.array_distinct(F.array_sort(a))
-    counts = F.transform(s, lambda v: size(F.filter(a, lambda x: x == v)))
-    return some(a, at(s, F.array_position(counts, F.array_max(counts)).cast("int") - 1), 15440)
+    """The item with the longest run in sorted order, the smallest one of several."""
+
+    def longest(s):
+        start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("most"), F.lit(0).alias("place"))
+
+        def step(z, k):
+            run = F.when((k > 0) & (at(s, k) == at(s, F.greatest(k - 1, F.lit(0)))), z["run"] + 1).otherwise(1)
+            return F.struct(run.alias("run"), F.greatest(run, z["most"]).alias("most"), F.when(run > z["most"], k).otherwise(z["place"]).alias("place"))
+
+        return at(s, F.aggregate(upto(size(s)), start, step)["place"])
+
+    return some(a, let(F.array_sort(a), longest), 15440)
 
 
 def sliding(a, n, step, partial=None):
@@ -205,16 +219,16 @@ define_all("a.", {
     "reverse": lambda a: F.reverse(a),
     "max": lambda a: some(a, F.array_max(a), 15170),
     "min": lambda a: some(a, F.array_min(a), 15180),
-    "maxLT": lambda a, f: some(a, at(a, at(order(a, True, f), F.lit(0))), 15190),
-    "minLT": lambda a, f: some(a, at(a, at(order(a, False, f), F.lit(0))), 15200),
+    "maxLT": lambda a, f: some(a, at(a, best_place(a, lambda x, y: f(y, x))), 15190),
+    "minLT": lambda a, f: some(a, at(a, best_place(a, f)), 15200),
     "maxN": lambda a, n: some(a, picks(a, first_n(order(a, True), n)), 15210),
     "minN": lambda a, n: some(a, picks(a, first_n(order(a), n)), 15220),
     "maxNLT": lambda a, n, f: some(a, picks(a, first_n(order(a, True, f), n)), 15230),
     "minNLT": lambda a, n, f: some(a, picks(a, first_n(order(a, False, f), n)), 15240),
-    "argmax": lambda a: some(a, at(order(a, True), F.lit(0)), 15250),
-    "argmin": lambda a: some(a, at(order(a), F.lit(0)), 15260),
-    "argmaxLT": lambda a, f: some(a, at(order(a, True, f), F.lit(0)), 15270),
-    "argminLT": lambda a, f: some(a, at(order(a, False, f), F.lit(0)), 15280),
+    "argmax": lambda a: some(a, i(F.array_position(a, F.array_max(a)) - 1), 15250),
+    "argmin": lambda a: some(a, i(F.array_position(a, F.array_min(a)) - 1), 15260),
+    "argmaxLT": lambda a, f: some(a, best_place(a, lambda x, y: f(y, x)), 15270),
+    "argminLT": lambda a, f: some(a, best_place(a, f), 15280),
     "argmaxN": lambda a, n: some(a, first_n(order(a, True), n), 15290),
     "argminN": lambda a, n: some(a, first_n(order(a), n), 15300),
     "argmaxNLT": lambda a, n, f: some(a, first_n(order(a, True, f), n), 15310),
@@ -227,7 +241,7 @@ define_all("a.", {
     "median": median,
     "ntile": ntile,
     "mode": mode,
-    "logsumexp": lambda a: some(a, F.array_max(a) + F.ln(total(F.transform(a, lambda x: F.exp(x - F.array_max(a))))), 15410),
+    "logsumexp": lambda a: some(a, let(F.array_max(a), lambda top: top + F.ln(total(F.transform(a, lambda x: F.exp(x - top))))), 15410),
     "distinct": lambda a: F.array_distinct(a),
     "seteq": lambda a, b: (size(F.array_except(a, b)) == 0) & (size(F.array_except(b, a)) == 0),
     "union": lambda a, b: F.array_union(a, b),

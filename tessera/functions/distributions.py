@@ -7,6 +7,7 @@ batches), quantiles from bisection on the distribution function.
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,23 @@ from .registry import LIBRARY, d
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erf = np.vectorize(math.erf, otypes=[float])
+_erfc = np.vectorize(math.erfc, otypes=[float])
+_normal_quantile = np.vectorize(NormalDist().inv_cdf, otypes=[float])
+
+
+LARGE = 4000.0
+
+
+def _gamma_p_large(a, x):
+    """The incomplete gamma function for a large a, by the uniform asymptotic expansion with its first two terms."""
+    mu = x / a - 1
+    eta = np.sign(mu) * np.sqrt(2 * np.maximum(mu - np.log1p(mu), 0))
+    near = np.abs(eta) < 1e-2
+    safe, m = np.where(near, 1.0, eta), np.where(near, 1.0, mu)
+    first = np.where(near, -1 / 3 + eta / 12 - 2 * eta**2 / 135 + eta**3 / 864, 1 / m - 1 / safe)
+    second = np.where(near, -1 / 540 - eta / 288 + eta**2 / 378, 1 / safe**3 - 1 / m**3 - 1 / m**2 - 1 / (12 * m))
+    rest = np.exp(-a * eta**2 / 2) / np.sqrt(2 * math.pi * a) * (first + second / a)
+    return np.clip(0.5 * _erfc(-eta * np.sqrt(a / 2)) - rest, 0, 1)
 
 
 def gamma_p(a, x):
@@ -24,7 +42,10 @@ def gamma_p(a, x):
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     out = np.zeros(a.shape)
     on = x > 0
-    a, x = a[on], np.minimum(x[on], 1e8)
+    large = on & (a > LARGE)
+    out[large] = _gamma_p_large(a[large], x[large])
+    on &= ~large
+    a, x = a[on], x[on]
     front = np.exp(a * np.log(x) - x - _lgamma(a)) if len(a) else a
     low = x < a + 1
     term = np.where(low, 1 / np.where(a > 0, a, 1), 0)
@@ -78,37 +99,38 @@ def quantile(cdf, p, low, high, whole=False):
     """The smallest x with cdf(x) >= p, by bisection; the upper end grows until it is enough."""
     p = np.asarray(p, float)
     lo, hi = np.full(p.shape, float(low)), np.full(p.shape, float(high))
-    for _ in range(200):
-        short = (cdf(hi) < np.minimum(p, 1 - 1e-15)) & (hi < 1e9)
+    for _ in range(900):
+        short = cdf(hi) < np.minimum(p, 1 - 1e-15)
         if not short.any():
             break
         hi = np.where(short, hi * 2 + 1, hi)
     if low == -np.inf:
         lo = -np.maximum(np.abs(hi), 1)
-        for _ in range(200):
-            long_ = (cdf(lo) > p) & (lo > -1e9)
+        for _ in range(900):
+            long_ = cdf(lo) > p
             if not long_.any():
                 break
             lo = np.where(long_, lo * 2, lo)
-    for _ in range(200 if not whole else 64):
+    for _ in range(1100):
         mid = (lo + hi) / 2
         if whole:
             mid = np.floor(mid)
         enough = cdf(mid) >= p
         hi, lo = np.where(enough, mid, hi), np.where(enough, lo, mid + 1 if whole else mid)
-        if whole and (lo >= hi).all():
+        if (lo >= hi).all() or not whole and (hi - lo <= 4e-16 * np.abs(hi)).all():
             break
     out = hi
     return out
 
 
 def _normal(x, mu, s):
-    return 0.5 * (1 + _erf((x - mu) / (s * math.sqrt(2))))
+    return 0.5 * _erfc((mu - x) / (s * math.sqrt(2)))
 
 
 def _t(x, n):
     tail = 0.5 * beta_i(n / 2, 0.5, n / (n + x * x))
-    return np.where(x > 0, 1 - tail, tail)
+    middle = 0.5 + 0.5 * np.sign(x) * beta_i(0.5, n / 2, x * x / (n + x * x))
+    return np.where(x * x < n, middle, np.where(x > 0, 1 - tail, tail))
 
 
 def _hyper(x, m, n, k):
@@ -143,6 +165,14 @@ CDFS = {
     "weibull": (lambda x, k, s: np.where(x > 0, -np.expm1(-((np.maximum(x, 0) / s) ** k)), 0), 0, False),
     "negativeBinomial": (lambda x, n, p: np.where(x < 0, 0, beta_i(n, np.floor(np.maximum(x, 0)) + 1, p)), 0, True),
 }
+#: Quantiles that have a closed form.
+CLOSED = {
+    "gaussian": lambda p, m, s: m + s * _normal_quantile(p),
+    "lognormal": lambda p, m, s: np.exp(m + s * _normal_quantile(p)),
+    "exponential": lambda p, r: -np.log1p(-p) / r,
+    "cauchy": lambda p, m, s: m + s * np.tan(math.pi * (p - 0.5)),
+    "weibull": lambda p, k, s: s * (-np.log1p(-p)) ** (1 / k),
+}
 _EDGES = {"gaussian": (-np.inf, np.inf), "cauchy": (-np.inf, np.inf), "t": (-np.inf, np.inf), "beta": (0.0, 1.0)}
 
 
@@ -172,7 +202,7 @@ def _quantile_of(name):
         if name == "binomial":
             edge_high = params[0]
         inner = np.clip(p, 1e-300, 1 - 1e-16)
-        out = quantile(lambda x: cdf(x, *params), inner, low, 1.0, whole)
+        out = CLOSED[name](inner, *params) if name in CLOSED else quantile(lambda x: cdf(x, *params), inner, low, 1.0, whole)
         return np.where(p <= 0, edge_low, np.where(p >= 1, edge_high, out))
 
     return f

@@ -175,7 +175,9 @@ def kolmogorov(x, y):
     gap = F.array_max(F.transform(F.concat(x, y), lambda t: F.abs(share(x, t) - share(y, t))))
     n = size(x) * size(y) / F.greatest(size(x) + size(y), F.lit(1)).cast("double")
     z = (F.sqrt(n) + 0.12 + 0.11 / F.sqrt(n)) * gap
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(149)), F.lit(0.0), lambda t, v: t + F.exp(-F.pow(2.0 * v - 1, F.lit(2)) * math.pi**2 / (8 * z * z)))
+    decay = math.pi**2 / (8 * z * z)  # terms beyond exp(-745) are zero
+    many = F.least(F.greatest(i(F.ceil(F.sqrt(745 / decay) / 2)) + 1, F.lit(1)), F.lit(100_000))
+    terms = F.aggregate(F.sequence(F.lit(1), many), F.lit(0.0), lambda t, v: t + F.exp(-F.pow(2.0 * v - 1, F.lit(2)) * decay))
     chance = 1 - math.sqrt(2 * math.pi) / z * terms
     same = F.array_sort(x) == F.array_sort(y)
     return F.when(same | (z == 0), F.lit(1.0)).when((size(x) == 0) | (size(y) == 0), F.lit(0.0)).otherwise(chance)
@@ -291,10 +293,8 @@ def tree_walk(datum, tree, test, missing=False):
         if node is None:
             return F.lit(score)
         t = test(datum, node)
-        out = F.when(t, go(node.value["pass"]))
-        if missing:
-            return F.when(t.isNull(), go(node.value["missing"])).when(t, go(node.value["pass"])).otherwise(go(node.value["fail"]))
-        return out.otherwise(go(node.value["fail"]))
+        start = F.when(t.isNull(), go(node.value["missing"])) if missing else F
+        return start.when(t, go(node.value["pass"])).otherwise(go(node.value["fail"]))
 
     return go(tree.value)
 

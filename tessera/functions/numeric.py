@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .collections import at, first_n, order, picks, size, some, total, upto
-from .registry import Const, d, define_all, fail, guard, i, lam, trait
+from .registry import Const, d, define_all, fail, guard, i, lam, let, trait
 from .scalar import ln_gamma
 
 
@@ -169,8 +169,8 @@ def softmax(x):
         top = F.array_max(F.map_values(x))
         bottom = total(F.transform(F.map_values(x), lambda v: F.exp(v - top)))
         return F.transform_values(x, lambda _, v: F.exp(v - top) / bottom)
-    bottom = total(F.transform(x, lambda v: F.exp(v - F.array_max(x))))
-    return F.transform(x, lambda v: F.exp(v - F.array_max(x)) / bottom)
+    powers = let(F.array_max(x), lambda top: F.transform(x, lambda v: F.exp(v - top)))
+    return let(powers, lambda es: let(total(es), lambda bottom: F.transform(es, lambda e: e / bottom)))
 
 
 def normal_cdf(z) -> Column:

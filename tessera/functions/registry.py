@@ -45,6 +45,11 @@ def guard(bad: Column, code: int, message: str, value: Column) -> Column:
     return F.when(bad, fail(code, message)).otherwise(value)
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def d(x) -> Column:
     return (x.column if isinstance(x, Const) else x).cast("double")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam
+from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam, let, trait
 
 def _inf() -> Column:
     return F.lit(float("inf"))
@@ -30,12 +30,36 @@ def floor_divide(x, y):
     return guard(y == 0, 18040, "integer division by zero", F.call_function("div", x, y))
 
 
+def _kinds(*xs) -> set[str]:
+    return {t.simpleString() for x in xs if (t := trait(x, "_type")) is not None}
+
+
+def _by_zero(k, n, code, value):
+    """Whole numbers have no remainder by zero; that of real ones is not a number."""
+    real = _kinds(k, n) & {"float", "double"}
+    return F.when(n == 0, _nan() if real else fail(code, "integer division by zero")).otherwise(value)
+
+
 def modulo(k, n):
-    return F.when(F.typeof(n).isin("int", "bigint") & (n == 0), fail(18060, "integer division by zero")).otherwise(((k % n) + n) % n)
+    return _by_zero(k, n, 18060, ((k % n) + n) % n)
 
 
 def remainder(k, n):
-    return F.when(F.typeof(n).isin("int", "bigint") & (n == 0), fail(18070, "integer division by zero")).otherwise(k % n)
+    return _by_zero(k, n, 18070, k % n)
+
+
+def power(x, y):
+    """Of whole numbers a whole number, or an error where it doesn't fit."""
+    value, kinds = F.pow(x, y), _kinds(x, y)
+    if not kinds or not kinds <= {"int", "bigint"}:
+        return value
+    kind, limit = ("bigint", 2.0**63) if "bigint" in kinds else ("int", 2.0**31)
+    return guard((value >= limit) | (value < -limit), 18080, "int overflow", value.cast(kind))
+
+
+def negative(x) -> Column:
+    """Whether the sign is minus, also that of zero."""
+    return (x < 0) | ((x == 0) & (F.atan2(F.lit(0.0), d(x)) != 0))
 
 
 define_all("", {
@@ -47,7 +71,7 @@ define_all("", {
     "u-": lambda x: -x,
     "%": modulo,
     "%%": remainder,
-    "**": lambda x, y: F.pow(x, y),
+    "**": power,
     "cmp": lambda x, y: F.when(x < y, -1).when(x > y, 1).otherwise(0),
     "==": lambda x, y: x.eqNullSafe(y),
     "!=": lambda x, y: ~x.eqNullSafe(y),
@@ -98,7 +122,7 @@ define_all("m.", {
     "atan": lambda x: F.atan(d(x)),
     "atan2": lambda y, x: F.atan2(d(y), d(x)),
     "ceil": lambda x: F.ceil(d(x)).cast("double"),
-    "copysign": lambda mag, sign: F.when(sign < 0, -F.abs(mag)).otherwise(F.abs(mag)),
+    "copysign": lambda mag, sign: F.when(negative(sign), -F.abs(mag)).otherwise(F.abs(mag)),
     "cos": lambda x: F.cos(d(x)),
     "cosh": lambda x: F.cosh(d(x)),
     "exp": lambda x: F.exp(d(x)),
@@ -109,7 +133,7 @@ define_all("m.", {
     "log10": lambda x: _ln(x, F.log10),
     "log": log_base,
     "ln1p": lambda x: _ln(x, F.log1p, -1.0),
-    "round": lambda x: F.floor(d(x) + 0.5).cast("long"),
+    "round": lambda x: (F.floor(d(x)) + F.when(d(x) - F.floor(d(x)) >= 0.5, 1).otherwise(0)).cast("long"),
     "rint": half_even,
     "signum": lambda x: i(F.signum(d(x))),
     "sin": lambda x: F.sin(d(x)),
@@ -137,27 +161,35 @@ def ln_gamma(x) -> Column:
     return F.when(x <= 0, fail(23040, "domain error")).when(x < 0.5, math.log(math.pi) - F.ln(F.sin(math.pi * x)) - upper(1 - x)).otherwise(upper(x))
 
 
-def erf(x) -> Column:
-    """Series near zero, continued fraction in the tails."""
-    x = d(x)
-    a = F.abs(x)
-    term, total = a, a
-    for n in range(1, 40):
-        term = term * (-(a * a)) / n
-        total = total + term / (2 * n + 1)
-    series = total * (2 / math.sqrt(math.pi))
+def _erf_near(x) -> Column:
+    """The power series of the error function, by Horner's rule; for arguments below 2.2."""
+    square, total = -(x * x), F.lit(0.0)
+    for n in range(40, -1, -1):
+        total = total * square + 1 / (math.factorial(n) * (2 * n + 1))
+    return total * x * (2 / math.sqrt(math.pi))
+
+
+def _erf_tail(a) -> Column:
+    """What the error function lacks to one, by a continued fraction; for arguments of 2.2 and more."""
     f = a
     for k in range(40, 0, -1):
         f = a + (k / 2) / f
-    tail = 1 - F.exp(-a * a) / (f * math.sqrt(math.pi))
-    return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * F.when(a < 2.2, series).otherwise(tail))
+    return F.exp(-a * a) / (f * math.sqrt(math.pi))
+
+
+def erf(x) -> Column:
+    return let(d(x), lambda v: F.when(F.abs(v) < 2.2, _erf_near(v)).otherwise(F.signum(v) * (1 - _erf_tail(F.abs(v)))))
+
+
+def erfc(x) -> Column:
+    return let(d(x), lambda v: F.when(F.abs(v) < 2.2, 1 - _erf_near(v)).when(v > 0, _erf_tail(v)).otherwise(2 - _erf_tail(-v)))
 
 
 define_all("m.special.", {
     "nChooseK": lambda n, k: guard((k < 0) | (n < k) | (n <= 0), 23000, "domain error", i(F.round(F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.lit(1.0), lambda a, j: a * (n - k + j) / j)))),
     "lnBeta": lambda a, b: guard((a <= 0) | (b <= 0), 23010, "domain error", ln_gamma(a) + ln_gamma(b) - ln_gamma(a + b)),
     "erf": erf,
-    "erfc": lambda x: 1 - erf(x),
+    "erfc": erfc,
     "lnGamma": ln_gamma,
 })
 
@@ -377,6 +409,15 @@ for _label, _charset_name in {"Utf8": "UTF-8", "Latin1": "ISO-8859-1", "Ascii":
     LIBRARY[f"bytes.encode{_label}"] = _encode(_charset_name)
 
 
+def is_utf16(b, little: Column) -> Column:
+    """Whole 16-bit units, and every high surrogate is followed by a low one."""
+    unit = lambda k: F.substring(b, 2 * k + 1, F.lit(2))
+    high = lambda k: F.hex(F.substring(unit(k), F.when(little, F.lit(2)).otherwise(F.lit(1)), F.lit(1)))
+    n = F.call_function("div", F.length(b), F.lit(2)).cast("int")
+    kinds = F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda k: F.when(high(k).between("D8", "DB"), F.lit("h")).when(high(k).between("DC", "DF"), F.lit("l")).otherwise(F.lit(".")))
+    return (F.length(b) % 2 == 0) & (F.replace(F.array_join(kinds, ""), F.lit("hl"), F.lit("")).rlike("[hl]") == F.lit(False))
+
+
 def byte_slice(b, start, end):
     n = F.length(b)
     a, z = clip_index(n, start), clip_index(n, end)
@@ -390,9 +431,9 @@ define_all("bytes.", {
     "isAscii": lambda b: ~F.hex(b).rlike("^(?:..)*[89A-F]."),
     "isUtf8": lambda b: F.call_function("is_valid_utf8", b),
     "isLatin1": lambda b: b.isNotNull(),
-    "isUtf16": lambda b: F.length(b) % 2 == 0,
-    "isUtf16be": lambda b: F.length(b) % 2 == 0,
-    "isUtf16le": lambda b: F.length(b) % 2 == 0,
+    "isUtf16": lambda b: is_utf16(b, F.hex(F.substring(b, F.lit(1), F.lit(2))) == "FFFE"),
+    "isUtf16be": lambda b: is_utf16(b, F.lit(False)),
+    "isUtf16le": lambda b: is_utf16(b, F.lit(True)),
     "toBase64": lambda b: F.translate(F.base64(b), "\r\n", ""),
     "fromBase64": lambda s: F.unbase64(s),
 })
