@@ -163,3 +163,115 @@ family("fn_map_sets", "lineitem", LINE, KEYED, [
     ("corresponds_key", {"map.correspondsWithKey": ["m", "m", fn("boolean", {"<": [{"+": ["v", {"s.len": ["k"]}]}, "w"]}, k="string", v="int", w="int")]}, "false"),
 ])
 _ = POSITIVE, DOUBLES
+
+# text, bytes, casts, times, missing values
+PART = {"s": ("p_name", "p_name"), "t": ("p_type", "p_type"), "b": ("p_brand", "p_brand"), "k": ("p_partkey", "p_partkey"), "n": ("p_size", "p_size")}
+UTF8 = lambda e: {"bytes.encodeUtf8": [e]}
+PAIRS = {"type": "array", "items": STRINGS}
+first_of = lambda p: f"CASE WHEN regexp_matches(t, '{p}') THEN strpos(t, regexp_extract(t, '{p}')) - 1 ELSE NULL END"
+family("fn_text", "part", ["p_partkey"], PART, [
+    ("index", joined({"re.index": ["t", LIT("[AEIOU]+L")]}), f"CASE WHEN regexp_matches(t, '[AEIOU]+L') THEN CAST({first_of('[AEIOU]+L')} AS VARCHAR) || ',' || CAST({first_of('[AEIOU]+L')} + length(regexp_extract(t, '[AEIOU]+L')) AS VARCHAR) ELSE '' END"),
+    ("rindex", joined({"re.rindex": ["t", LIT("E")]}), "CASE WHEN contains(t, 'E') THEN CAST(length(t) - strpos(reverse(t), 'E') AS VARCHAR) || ',' || CAST(length(t) - strpos(reverse(t), 'E') + 1 AS VARCHAR) ELSE '' END"),
+    ("indexall", {"a.len": [{"re.indexall": ["t", LIT("[AEIOU]+")]}]}, "CAST(len(regexp_extract_all(t, '[AEIOU]+')) AS INTEGER)"),
+    ("groups", {"a.len": [{"re.groups": ["t", LIT("([A-Z])([A-Z])")]}]}, "CAST(CASE WHEN regexp_matches(t, '[A-Z][A-Z]') THEN 3 ELSE 0 END AS INTEGER)"),
+    ("groupsall", {"a.len": [{"re.groupsall": ["t", LIT("([AEIOU])([A-Z])")]}]}, "CAST(len(regexp_extract_all(t, '([AEIOU])([A-Z])')) AS INTEGER)"),
+    ("findfirst", {"ifnotnull": {"z": {"re.findfirst": ["t", LIT("[AEIOU][A-Z]")]}}, "then": "z", "else": LIT("-")}, "CASE WHEN regexp_matches(t, '[AEIOU][A-Z]') THEN regexp_extract(t, '[AEIOU][A-Z]') ELSE '-' END"),
+    ("findgroups", {"s.join": [{"re.findgroupsfirst": ["t", LIT("([AEIOU])([A-Z])")]}, LIT("|")]}, "CASE WHEN regexp_matches(t, '[AEIOU][A-Z]') THEN regexp_extract(t, '([AEIOU])([A-Z])') || '|' || regexp_extract(t, '([AEIOU])([A-Z])', 1) || '|' || regexp_extract(t, '([AEIOU])([A-Z])', 2) ELSE '' END"),
+    ("findgroupsall", {"s.join": [{"a.map": [{"re.findgroupsall": ["t", LIT("([AEIOU])([A-Z])")]}, fn("string", {"attr": "g", "path": [2]}, g=STRINGS)]}, LIT("")]}, "array_to_string(regexp_extract_all(t, '([AEIOU])([A-Z])', 2), '')"),
+    ("replacelast", {"re.replacelast": ["t", LIT("[AEIOU]+"), LIT("-")]}, "regexp_replace(t, '^(.*?)([AEIOU]+)([^AEIOU]*)$', '\\1-\\3')"),
+    ("parse_long", {"parse.long": [{"s.number": ["k"]}, 10]}, "CAST(k AS BIGINT)"),
+    ("parse_hex", {"parse.int": [{"s.hex": ["k"]}, 16]}, "CAST(k AS INTEGER)"),
+    ("parse_float", {"parse.float": [{"s.number": ["k"]}]}, "CAST(k AS FLOAT)", 3),
+    ("as_float", {"cast.float": ["n"]}, "n", 3),
+    ("as_double", {"cast.double": ["n"]}, "n", 3),
+    ("fan_boolean", {"a.len": [{"a.filter": [{"cast.fanoutBoolean": ["n", 0, 20, True]}, fn("boolean", {"||": ["v", False]}, v="boolean")]}]}, "CAST(1 AS INTEGER)"),
+    ("fan_int", joined({"cast.fanoutInt": ["n", 1, 4, False]}), "CONCAT_WS(',', CAST(n = 1 AS INTEGER), CAST(n = 2 AS INTEGER), CAST(n = 3 AS INTEGER))"),
+    ("fan_long", {"a.sum": [{"cast.fanoutLong": ["n", 1, 30, False]}]}, "CAST(n BETWEEN 1 AND 29 AS INTEGER)", 3),
+    ("fan_float", {"a.sum": [{"cast.fanoutFloat": ["n", 1, 30, True]}]}, "1", 3),
+    ("fan_double", {"a.argmax": [{"cast.fanoutDouble": ["n", 0, 60, True]}]}, "n"),
+    ("json", {"cast.json": ["n"]}, "CAST(n AS VARCHAR)"),
+    ("json_list", {"cast.json": [ints("n", 1)]}, "'[' || CAST(n AS VARCHAR) || ',1]'"),
+    ("subseq", {"bytes.toBase64": [{"bytes.subseq": [UTF8("s"), 1, -1]}]}, "base64(encode(substr(s, 2, length(s) - 2)))"),
+    ("subseqto", {"bytes.toBase64": [{"bytes.subseqto": [UTF8("s"), 1, 3, UTF8("b")]}]}, "base64(encode(substr(s, 1, 1) || b || substr(s, 4)))"),
+    ("ascii", {"bytes.isAscii": [UTF8("s")]}, "strlen(s) = length(s)"),
+    ("not_ascii", {"bytes.isAscii": [UTF8(LIT("é"))]}, "false"),
+    ("utf8", {"bytes.isUtf8": [UTF8("s")]}, "true"),
+    ("not_utf8", {"bytes.isUtf8": [{"bytes.encodeLatin1": [LIT("é")]}]}, "false"),
+    ("latin1", {"bytes.isLatin1": [UTF8("s")]}, "true"),
+    ("utf16", {"bytes.isUtf16": [{"bytes.encodeUtf16": ["s"]}]}, "true"),
+    ("utf16be", {"bytes.isUtf16be": [{"bytes.subseq": [{"bytes.encodeUtf16be": [LIT("x\U0001d11e")]}, 0, 4]}]}, "false"),
+    ("utf16le", {"bytes.isUtf16le": [{"bytes.encodeUtf16le": [LIT("x\U0001d11e")]}]}, "true"),
+    ("code_ascii", {"bytes.decodeAscii": [{"bytes.encodeAscii": ["s"]}]}, "s"),
+    ("code_latin1", {"bytes.decodeLatin1": [{"bytes.encodeLatin1": ["s"]}]}, "s"),
+    ("code_utf16", {"bytes.decodeUtf16": [{"bytes.encodeUtf16": ["s"]}]}, "s"),
+    ("code_utf16be", {"bytes.decodeUtf16be": [{"bytes.encodeUtf16be": ["s"]}]}, "s"),
+    ("code_utf16le", {"bytes.decodeUtf16le": [{"bytes.encodeUtf16le": ["s"]}]}, "s"),
+    ("base64", {"bytes.decodeUtf8": [{"bytes.fromBase64": [{"bytes.toBase64": [UTF8("s")]}]}]}, "s"),
+])
+EVENT = {"t": ("unix_micros(cast(ts as timestamp)) / 1e6D", "epoch(ts)"), "w": ("case when value < 20 then null else value end", "CASE WHEN value < 20 THEN NULL ELSE value END"), "z": ("case when value < 20 then double('NaN') when value < 40 then double('Infinity') else value end", "CASE WHEN value < 20 THEN 'nan'::DOUBLE WHEN value < 40 THEN 'inf'::DOUBLE ELSE value END")}
+Z = LIT("UTC")
+at_utc = "(to_timestamp(t) AT TIME ZONE 'UTC')"
+family("fn_time_ranges", "events", ["event_id"], EVENT, [
+    ("made", {"time.makeTimestamp": [{"time.year": ["t", Z]}, {"time.monthOfYear": ["t", Z]}, {"time.dayOfMonth": ["t", Z]}, {"time.hourOfDay": ["t", Z]}, {"time.minuteOfHour": ["t", Z]}, {"time.secondOfMinute": ["t", Z]}, 0, Z]}, "floor(t)", 3),
+    ("second", {"time.isSecondOfMinute": ["t", Z, 10.0, 30.0]}, f"second({at_utc}) BETWEEN 10 AND 29"),
+    ("minute", {"time.isMinuteOfHour": ["t", Z, 15.0, 45.0]}, f"minute({at_utc}) BETWEEN 15 AND 44"),
+    ("weekday", {"time.isDayOfWeek": ["t", Z, 1.0, 4.0]}, f"isodow({at_utc}) - 1 BETWEEN 1 AND 3"),
+    ("monthday", {"time.isDayOfMonth": ["t", Z, 5.0, 20.0]}, f"day({at_utc}) BETWEEN 5 AND 19"),
+    ("month", {"time.isMonthOfYear": ["t", Z, 1.0, 3.0]}, f"month({at_utc}) BETWEEN 1 AND 2"),
+    ("yearday", {"time.isDayOfYear": ["t", Z, 10.0, 100.0]}, f"dayofyear({at_utc}) BETWEEN 10 AND 99"),
+    ("default_null", {"impute.defaultOnNull": ["w", -1.0]}, "coalesce(w, -1)", 6),
+    ("error_null", {"impute.errorOnNull": [{"impute.defaultOnNull": ["w", 0.0]}]}, "coalesce(w, 0)", 6),
+    ("nan", {"impute.isnan": ["z"]}, "isnan(z)"),
+    ("inf", {"impute.isinf": ["z"]}, "isinf(z)"),
+    ("num", {"impute.isnum": ["z"]}, "isfinite(z)"),
+    ("default_num", {"impute.defaultOnNonNum": ["z", -1.0]}, "CASE WHEN isfinite(z) THEN z ELSE -1 END", 6),
+    ("error_num", {"impute.errorOnNonNum": [{"impute.defaultOnNonNum": ["z", -1.0]}]}, "CASE WHEN isfinite(z) THEN z ELSE -1 END", 6),
+])
+
+# linear algebra, metrics, interpolation, links
+Q = {"x": ("l_quantity", "l_quantity"), "y": ("l_discount", "l_discount"), "t": ("l_tax", "l_tax"), "n": ("l_linenumber", "l_linenumber")}
+MATRIX = {"type": "array", "items": DOUBLES}
+row = lambda *v: new(DOUBLES, *v)
+matrix = lambda *r: new(MATRIX, *r)
+M = matrix(row("x", "y"), row("t", 2.0))
+cell = lambda m, a, b: {"attr": m, "path": [a, b]}
+got = lambda e, *path: {"do": [{"let": {"r": e}}, {"attr": "r", "path": list(path)}]}
+ABS, SQ = fn("double", {"metric.absDiff": ["a", "b"]}, a="double", b="double"), fn("double", {"-": ["a", "b"]}, a="double", b="double")
+V, W = row("x", "y", "t"), row(25.0, 0.05, 0.04)
+BITS = lambda *e: new({"type": "array", "items": "boolean"}, *e)
+B1, B2 = BITS({">": ["x", 25]}, {">": ["y", 0.05]}, {">": ["t", 0.03]}, {">": ["n", 2]}), BITS(True, False, True, True)
+b = ["(x > 25)::INT", "(y > 0.05::DOUBLE)::INT", "(t > 0.03::DOUBLE)::INT", "(n > 2)::INT"]
+both, only_x, only_y = f"({b[0]} + {b[2]} + {b[3]})", b[1], f"(3 - {b[0]} - {b[2]} - {b[3]})"
+neither = f"(1 - {b[1]})"
+POINTS = [{"x": 0.0, "to": 1.0}, {"x": 20.0, "to": 5.0}, {"x": 40.0, "to": 3.0}]
+TABLE = {"value": POINTS, "type": {"type": "array", "items": {"type": "record", "name": "Point", "fields": [{"name": "x", "type": "double"}, {"name": "to", "type": "double"}]}}}
+line = "CASE WHEN x <= 20 THEN 1 + 4 * x / 20 ELSE 5 - 2 * (x - 20) / 20 END"
+family("fn_linear", "lineitem", LINE, Q, [
+    ("la_map", got({"la.map": [M, fn("double", {"*": ["v", 3.0]}, v="double")]}, 0, 0), "3 * x", 6),
+    ("la_zipmap", got({"la.zipmap": [M, M, SQ]}, 0, 1), "0", 6),
+    ("la_add", got({"la.add": [M, M]}, 0, 0), "2 * x", 6),
+    ("la_sub", got({"la.sub": [M, matrix(row(1.0, 2.0), row(3.0, 4.0))]}, 1, 0), "t - 3", 6),
+    ("la_dot", got({"la.dot": [M, M]}, 0, 1), "x * y + 2 * y", 6),
+    ("la_dot_vector", got({"la.dot": [M, row(2.0, 3.0)]}, 1), "2 * t + 6", 6),
+    ("la_transpose", got({"la.transpose": [M]}, 1, 0), "y", 6),
+    ("la_inverse", got({"la.inverse": [M]}, 0, 0), "2 / (2 * x - y * t)", 6),
+    ("la_trace", {"la.trace": [M]}, "x + 2", 6),
+    ("la_det", {"la.det": [M]}, "2 * x - y * t", 6),
+    ("la_symmetric", {"la.symmetric": [M, 0.02]}, "abs(y - t) < 0.02::DOUBLE"),
+    ("la_eigen", got({"la.eigenBasis": [matrix(row({"+": ["x", 10.0]}, 0.0), row(0.0, 2.0))]}, 0, 0), "1 / sqrt(x + 10)", 6),
+    ("la_truncate", {"a.len": [{"la.truncate": [M, 1]}]}, "CAST(1 AS INTEGER)"),
+    ("euclidean", {"metric.euclidean": [ABS, V, W]}, "sqrt(pow(x - 25, 2) + pow(y - 0.05::DOUBLE, 2) + pow(t - 0.04::DOUBLE, 2))", 6),
+    ("squared", {"metric.squaredEuclidean": [ABS, V, W]}, "pow(x - 25, 2) + pow(y - 0.05::DOUBLE, 2) + pow(t - 0.04::DOUBLE, 2)", 5),
+    ("chebyshev", {"metric.chebyshev": [ABS, V, W]}, "greatest(abs(x - 25), abs(y - 0.05::DOUBLE), abs(t - 0.04::DOUBLE))", 6),
+    ("taxicab", {"metric.taxicab": [ABS, V, W]}, "abs(x - 25) + abs(y - 0.05::DOUBLE) + abs(t - 0.04::DOUBLE)", 6),
+    ("minkowski", {"metric.minkowski": [ABS, V, W, 3.0]}, "pow(pow(abs(x - 25), 3) + pow(abs(y - 0.05::DOUBLE), 3) + pow(abs(t - 0.04::DOUBLE), 3), 1 / 3.0::DOUBLE)", 5),
+    ("matching", {"metric.simpleMatching": [B1, B2]}, f"({both} + {neither}) / 4", 6),
+    ("jaccard", {"metric.jaccard": [B1, B2]}, f"{both} / ({both} + {only_x} + {only_y})", 6),
+    ("tanimoto", {"metric.tanimoto": [B1, B2]}, f"({both} + {neither}) / ({both} + 2 * ({only_x} + {only_y}) + {neither})", 6),
+    ("binary_", {"metric.binarySimilarity": [B1, B2, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0]}, f"{both} / 4", 6),
+    ("kernel", {"m.kernel.sigmoid": [row("y", "t"), row(1.0, 2.0), 0.5, 0.25]}, "tanh(0.5 * (y + 2 * t) + 0.25)", 6),
+    ("nearest", {"interp.nearest": ["x", TABLE]}, "CASE WHEN x <= 10 THEN 1 WHEN x <= 30 THEN 5 ELSE 3 END", 6),
+    ("linear", {"interp.linear": ["x", TABLE]}, line, 6),
+    ("flat", {"interp.linearFlat": ["x", TABLE]}, f"CASE WHEN x >= 40 THEN 3 ELSE {line} END", 6),
+    ("missing", {"impute.defaultOnNull": [{"interp.linearMissing": ["x", TABLE]}, -1.0]}, f"CASE WHEN x > 40 THEN -1 ELSE {line} END", 6),
+])

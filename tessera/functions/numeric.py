@@ -206,11 +206,13 @@ def table_order(table, x) -> Column:
 
 
 def interp_nearest(x, table, metric=None):
+    table = table.column if isinstance(table, Const) else table
     near = lambda r: metric(x, r["x"]) if metric else F.sqrt(total(F.zip_with(x, r["x"], lambda a, b: (a - b) * (a - b)))) if trait(x, "_is_array") else F.abs(r["x"] - x)
     return some(table, at(table, at(order(F.transform(table, near)), F.lit(0)))["to"], 22010, "table must have at least one entry")
 
 
 def interp_linear(x, table, outside="extend"):
+    table = table.column if isinstance(table, Const) else table
     rows = F.array_sort(F.transform(table, lambda r: F.struct(r["x"].alias("x"), r["to"].alias("to"))))
     n = size(rows)
     below = size(F.filter(rows, lambda r: r["x"] <= x))
