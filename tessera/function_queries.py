@@ -235,7 +235,7 @@ row = lambda *v: new(DOUBLES, *v)
 matrix = lambda *r: new(MATRIX, *r)
 M = matrix(row("x", "y"), row("t", 2.0))
 cell = lambda m, a, b: {"attr": m, "path": [a, b]}
-got = lambda e, *path: {"do": [{"let": {"r": e}}, {"attr": "r", "path": list(path)}]}
+got = lambda e, *path: {"do": [{"let": {"held": e}}, {"attr": "held", "path": [[p["string"]] if isinstance(p, dict) else p for p in path]}]}
 ABS, SQ = fn("double", {"metric.absDiff": ["a", "b"]}, a="double", b="double"), fn("double", {"-": ["a", "b"]}, a="double", b="double")
 V, W = row("x", "y", "t"), row(25.0, 0.05, 0.04)
 BITS = lambda *e: new({"type": "array", "items": "boolean"}, *e)
@@ -275,3 +275,205 @@ family("fn_linear", "lineitem", LINE, Q, [
     ("flat", {"interp.linearFlat": ["x", TABLE]}, f"CASE WHEN x >= 40 THEN 3 ELSE {line} END", 6),
     ("missing", {"impute.defaultOnNull": [{"interp.linearMissing": ["x", TABLE]}, -1.0]}, f"CASE WHEN x > 40 THEN -1 ELSE {line} END", 6),
 ])
+
+# models
+DATA = {"x": ("l_quantity", "l_quantity"), "y": ("l_discount", "l_discount"), "t": ("l_tax", "l_tax"), "n": ("l_linenumber", "l_linenumber"), "r": ("named_struct('q', l_quantity, 'd', case when l_tax < 0.04 then l_discount end)", "l_tax"), "f": ("l_returnflag", "l_returnflag")}
+TEST = {"type": "record", "name": "Test", "fields": [{"name": "field", "type": "string"}, {"name": "operator", "type": "string"}, {"name": "value", "type": "double"}]}
+WALK = {"type": "record", "name": "Walk", "fields": [*TEST["fields"], *({"name": k, "type": ["Walk", "string"]} for k in ("pass", "fail", "missing"))]}
+test = lambda field, op, value, **more: {"field": field, "operator": op, "value": value, **more}
+constant = lambda value, kind: {"value": value, "type": kind}
+TESTS = {"type": "array", "items": TEST}
+TREE = test("q", "<", 20.0, **{"pass": {"string": "low"}, "fail": {"Walk": test("d", ">", 0.05, **{"pass": {"string": "off"}, "fail": {"string": "full"}, "missing": {"string": "unknown"}})}, "missing": {"string": "none"}})
+known_d = "(t < 0.04::DOUBLE)"
+CLUSTER = {"type": "record", "name": "Group", "fields": [{"name": "center", "type": DOUBLES}, {"name": "id", "type": "string"}]}
+GROUPS = constant([{"center": [10.0, 0.02], "id": "a"}, {"center": [30.0, 0.05], "id": "b"}, {"center": [45.0, 0.08], "id": "c"}], {"type": "array", "items": CLUSTER})
+XY = row("x", "y")
+dist = lambda a, c: f"(pow(x - {a}, 2) + pow(y - {c}::DOUBLE, 2))"
+order_ids = f"list_transform(list_sort([{{'v': {dist(10, 0.02)}, 'k': 'a'}}, {{'v': {dist(30, 0.05)}, 'k': 'b'}}, {{'v': {dist(45, 0.08)}, 'k': 'c'}}]), lambda z: z.k)"
+POINT_LIST = matrix(row("x", "y"), row("t", 2.0), row(5.0, 1.0))
+EUCLID = fn("double", {"metric.simpleEuclidean": ["a", "b"]}, a=DOUBLES, b=DOUBLES)
+BOOK = constant([[10.0, 0.02], [30.0, 0.05], [45.0, 0.08]], MATRIX)
+NORMAL = constant([{"mean": 25.0, "variance": 100.0}, {"mean": 0.05, "variance": 0.01}], {"type": "array", "items": {"type": "record", "name": "Normal", "fields": [{"name": "mean", "type": "double"}, {"name": "variance", "type": "double"}]}})
+LAYERS = constant([{"weights": [[0.1, 2.0], [-0.2, 1.0]], "bias": [0.5, 0.25]}, {"weights": [[1.0, -1.0]], "bias": [0.125]}], {"type": "array", "items": {"type": "record", "name": "Layer", "fields": [{"name": "weights", "type": MATRIX}, {"name": "bias", "type": DOUBLES}]}})
+VECTOR = {"type": "array", "items": {"type": "record", "name": "Support", "fields": [{"name": "supVec", "type": DOUBLES}, {"name": "coeff", "type": "double"}]}}
+MACHINE = constant({"const": 0.5, "posClass": [{"supVec": [1.0, 2.0], "coeff": 0.3}], "negClass": [{"supVec": [0.5, -1.0], "coeff": -0.2}]}, {"type": "record", "name": "Machine", "fields": [{"name": "const", "type": "double"}, {"name": "posClass", "type": VECTOR}, {"name": "negClass", "type": VECTOR}]})
+COVAR = constant({"coeff": [1.0, 2.0], "const": 0.0, "covar": [[1.0, 0.1, 0.2], [0.1, 2.0, 0.3], [0.2, 0.3, 0.5]]}, {"type": "record", "name": "Variance", "fields": [{"name": "coeff", "type": DOUBLES}, {"name": "const", "type": "double"}, {"name": "covar", "type": MATRIX}]})
+SEEN = constant([{"x": 0.0, "to": 1.0}, {"x": 20.0, "to": 5.0}], {"type": "array", "items": {"type": "record", "name": "Seen", "fields": [{"name": "x", "type": "double"}, {"name": "to", "type": "double"}]}})
+KERNEL = fn("double", {"m.kernel.rbf": ["a", "b", 0.01]}, a=DOUBLES, b=DOUBLES)
+k20, kx0, kx20 = "exp(-4.0::DOUBLE)", "exp(-0.01::DOUBLE * x * x)", "exp(-0.01::DOUBLE * (x - 20) * (x - 20))"
+COV = constant([[4.0, 0.0], [0.0, 0.25]], MATRIX)
+CHI = {"type": "record", "name": "Chi", "fields": [{"name": "chi2", "type": "double"}, {"name": "dof", "type": "int"}]}
+CHI_OLD = {"type": "record", "name": "ChiOld", "fields": [{"name": "chi2", "type": "double"}, {"name": "DOF", "type": "int"}]}
+chi = {"new": {"chi2": "x", "dof": 3}, "type": CHI}
+chi_old = {"new": {"chi2": "x", "DOF": 3}, "type": CHI_OLD}
+two = {"new": {"chi2": "x", "dof": 2}, "type": CHI}
+two_old = {"new": {"chi2": "x", "DOF": 2}, "type": CHI_OLD}
+family("fn_tree", "lineitem", LINE, DATA, [
+    ("simple", {"model.tree.simpleTest": ["r", constant(test("q", "<=", 25.0), TEST)]}, "x <= 25"),
+    ("missing", {"impute.defaultOnNull": [{"model.tree.missingTest": ["r", constant(test("d", ">", 0.05), TEST)]}, False]}, f"{known_d} AND y > 0.05::DOUBLE"),
+    ("compound", {"model.tree.compoundTest": ["r", LIT("and"), constant([test("q", "<=", 25.0), test("q", ">", 10.0)], TESTS), {"fcn": "model.tree.simpleTest"}]}, "x <= 25 AND x > 10"),
+    ("surrogate", {"model.tree.surrogateTest": ["r", constant([test("d", ">", 0.05), test("q", ">", 10.0)], TESTS), {"fcn": "model.tree.missingTest"}]}, f"CASE WHEN {known_d} THEN y > 0.05::DOUBLE ELSE x > 10 END"),
+    ("walk", {"model.tree.simpleWalk": ["r", constant(test("q", "<", 20.0, **{"pass": {"string": "low"}, "fail": {"string": "high"}}), WALK), {"fcn": "model.tree.simpleTest"}]}, "CASE WHEN x < 20 THEN 'low' ELSE 'high' END"),
+    ("missing_walk", {"model.tree.missingWalk": ["r", constant(TREE, WALK), {"fcn": "model.tree.missingTest"}]}, f"CASE WHEN x < 20 THEN 'low' WHEN NOT {known_d} THEN 'unknown' WHEN y > 0.05::DOUBLE THEN 'off' ELSE 'full' END"),
+])
+family("fn_model", "lineitem", LINE, DATA, [
+    ("closest_n", got({"model.cluster.closestN": [2, XY, GROUPS]}, 1, LIT("id")), f"{order_ids}[2]"),
+    ("seeds", {"a.len": [{"model.cluster.randomSeeds": [POINT_LIST, 2, fn(CLUSTER, {"new": {"center": "p", "id": {"s.number": ["i"]}}, "type": CLUSTER}, i="int", p=DOUBLES)]}]}, "CAST(2 AS INTEGER)"),
+    ("iteration", got({"model.cluster.kmeansIteration": [POINT_LIST, GROUPS, EUCLID, fn(CLUSTER, {"model.cluster.updateMean": ["p", "c", 1.0]}, p=MATRIX, c=CLUSTER)]}, 2, LIT("center"), 0), f"CASE WHEN {order_ids}[1] = 'c' THEN (45 + x) / 2 ELSE 45 END", 6),
+    ("update_mean", got({"model.cluster.updateMean": [POINT_LIST, {"attr": GROUPS, "path": [0]}, 3.0]}, LIT("center"), 0), "(30 + x + t + 5) / 6", 6),
+    ("mean", got({"model.neighbor.mean": [POINT_LIST]}, 0), "(x + t + 5) / 3", 6),
+    ("nearest", got({"model.neighbor.nearestK": [2, XY, BOOK]}, 1, 0), f"CASE {order_ids}[2] WHEN 'a' THEN 10 WHEN 'b' THEN 30 ELSE 45 END", 6),
+    ("ball", {"a.len": [{"model.neighbor.ballR": [12.0, XY, BOOK]}]}, f"CAST((sqrt({dist(10, 0.02)}) < 12)::INT + (sqrt({dist(30, 0.05)}) < 12)::INT + (sqrt({dist(45, 0.08)}) < 12)::INT AS INTEGER)"),
+    ("gaussian", {"model.naive.gaussian": [XY, NORMAL]}, "-ln(2 * pi() * 100) / 2 - pow(x - 25, 2) / 200 - ln(2 * pi() * 0.01) / 2 - pow(y - 0.05::DOUBLE, 2) / 0.02", 6),
+    ("multinomial", {"model.naive.multinomial": [XY, constant([2.0, 6.0], DOUBLES)]}, "x * ln(0.25) + y * ln(0.75)", 6),
+    ("bernoulli", {"model.naive.bernoulli": [new(STRINGS, "f"), constant({"A": 0.3, "N": 0.6, "R": 0.2}, {"type": "map", "values": "double"})]}, "CASE f WHEN 'A' THEN ln(0.3) + ln(0.4) + ln(0.8) WHEN 'N' THEN ln(0.7) + ln(0.6) + ln(0.8) ELSE ln(0.7) + ln(0.4) + ln(0.2) END", 6),
+    ("layers", got({"model.neural.simpleLayers": [XY, LAYERS, fn("double", {"m.link.tanh": ["v"]}, v="double")]}, 0), "tanh(0.1 * x + 2 * y + 0.5) - tanh(-0.2 * x + y + 0.25) + 0.125", 6),
+    ("machine", {"model.svm.score": [XY, MACHINE, fn("double", {"m.kernel.linear": ["a", "b"]}, a=DOUBLES, b=DOUBLES)]}, "0.3 * (x + 2 * y) - 0.2 * (0.5 * x - y) + 0.5", 6),
+    ("variance", {"model.reg.linearVariance": [XY, COVAR]}, "x * x + 0.2 * x * y + 0.4 * x + 2 * y * y + 0.6 * y + 0.5", 5),
+    ("process", {"model.reg.gaussianProcess": ["x", SEEN, None, KERNEL]}, f"({kx0} * (1 - 5 * {k20}) + {kx20} * (5 - {k20})) / (1 - {k20} * {k20})", 6),
+    ("residual", {"model.reg.residual": ["x", 25.0]}, "x - 25", 6),
+    ("pull", {"model.reg.pull": ["x", 25.0, 4.0]}, "(x - 25) / 4", 6),
+    ("mahalanobis", {"model.reg.mahalanobis": [XY, row(25.0, 0.05), COV]}, "sqrt(pow(x - 25, 2) / 4 + pow(y - 0.05::DOUBLE, 2) * 4)", 6),
+    ("chi2", got({"model.reg.updateChi2": ["y", chi_old]}, LIT("chi2")), "x + y * y", 6),
+    ("reduced", {"model.reg.reducedChi2": [chi_old]}, "x / 3", 6),
+    ("chance", {"model.reg.chi2Prob": [two_old]}, "1 - exp(-x / 2)", 6),
+    ("test_mahalanobis", {"stat.test.mahalanobis": [XY, row(25.0, 0.05), COV]}, "sqrt(pow(x - 25, 2) / 4 + pow(y - 0.05::DOUBLE, 2) * 4)", 6),
+    ("test_chi2", got({"stat.test.updateChi2": ["y", chi]}, LIT("dof")), "4", 6),
+    ("test_reduced", {"stat.test.reducedChi2": [chi]}, "x / 3", 6),
+    ("test_chance", {"stat.test.chi2Prob": [two]}, "1 - exp(-x / 2)", 6),
+    ("same", {"stat.test.kolmogorov": [row("x", "y", "t"), row("t", "x", "y")]}, "1", 6),
+])
+
+# online statistics, change detection
+SAMPLE = {"s": ("named_struct('count', 10D, 'mean', 20D, 'variance', 4D)", "1"), "e": ("named_struct('mean', 20D, 'variance', 4D)", "1"), "h": ("named_struct('level', 20D, 'trend', 1D)", "1")}
+SAMPLE["c"] = ("named_struct('level', 20D, 'trend', 1D, 'cycle', array(1D, 2D, 3D), 'multiplicative', false)", "1")
+SAMPLE["b"] = ("named_struct('numbins', 10, 'low', 0D, 'high', 50D, 'values', array_repeat(0D, 10))", "1")
+SAMPLE["b2"] = ("named_struct('xnumbins', 5, 'xlow', 0D, 'xhigh', 51D, 'ynumbins', 2, 'ylow', 0D, 'yhigh', 0.2D, 'values', array_repeat(array_repeat(0D, 2), 5))", "1")
+SAMPLE["k"] = ("named_struct('values', map('A', 5D))", "1")
+SAMPLE["g"] = ("named_struct('numEvents', 3, 'numRuns', 2, 'currentRun', 1, 'longestRun', 2)", "1")
+SAMPLE["v"] = ("named_struct('count', 10D, 'mean', array(20D, 0.05D), 'covariance', array(array(4D, 0.1D), array(0.1D, 0.01D)))", "1")
+SAMPLE["u"] = ("array(named_struct('x', 10D, 'w', 1D, 'count', 1D, 'mean', 10D, 'variance', 0D), named_struct('x', 30D, 'w', 1D, 'count', 2D, 'mean', 20D, 'variance', 100D))", "1")
+SAMPLE |= {"x": DATA["x"], "y": DATA["y"], "n": DATA["n"], "f": DATA["f"]}
+shift = "((x - 20) * 2 / 12)"
+family("fn_sample", "lineitem", LINE, SAMPLE, [
+    ("mean", got({"stat.sample.update": ["x", 2.0, "s"]}, LIT("mean")), f"20 + {shift}", 6),
+    ("variance", got({"stat.sample.update": ["x", 2.0, "s"]}, LIT("variance")), f"(40 + 2 * (x - 20) * (x - 20 - {shift})) / 12", 6),
+    ("covariance", got({"stat.sample.updateCovariance": [row("x", "y"), 2.0, "v"]}, LIT("covariance"), 0, 1), "(0.1 * 10 + (x - 20) * (y - 0.05::DOUBLE) * 2 * 10 / 12) / 12", 6),
+    ("window", got({"stat.sample.updateWindow": ["x", 1.0, "u", 2]}, 1, LIT("variance")), "pow((x - 30) / 2, 2)", 6),
+    ("ewma", got({"stat.sample.updateEWMA": ["x", 0.25, "e"]}, LIT("mean")), "20 + 0.25 * (x - 20)", 6),
+    ("ewma_variance", got({"stat.sample.updateEWMA": ["x", 0.25, "e"]}, LIT("variance")), "0.75 * (4 + 0.25 * pow(x - 20, 2))", 6),
+    ("level", got({"stat.sample.updateHoltWinters": ["x", 0.3, 0.1, "h"]}, LIT("level")), "0.3 * x + 0.7 * 21", 6),
+    ("trend", got({"stat.sample.updateHoltWinters": ["x", 0.3, 0.1, "h"]}, LIT("trend")), "0.1 * (0.3 * x + 0.7 * 21 - 20) + 0.9", 6),
+    ("cycle", got({"stat.sample.updateHoltWintersPeriodic": ["x", 0.3, 0.1, 0.2, "c"]}, LIT("level")), "0.3 * (x - 2) + 0.7 * 21", 6),
+    ("forecast1", {"stat.sample.forecast1HoltWinters": ["h"]}, "21", 6),
+    ("forecast", got({"stat.sample.forecastHoltWinters": [3, "h"]}, 2), "23", 6),
+    ("histogram", {"a.argmax": [got({"stat.sample.fillHistogram": ["x", 1.0, "b"]}, LIT("values"))]}, "CAST(CASE WHEN x < 50 THEN floor(x / 5) ELSE 0 END AS INTEGER)"),
+    ("histogram2d", got({"stat.sample.fillHistogram2d": ["x", "y", 2.5, "b2"]}, LIT("values"), 2, 0), "CASE WHEN floor(x / 51 * 5) = 2 AND y < 0.1::DOUBLE THEN 2.5 ELSE 0 END", 6),
+    ("counter", {"a.sum": [{"map.values": [got({"stat.sample.fillCounter": ["f", 2.0, "k"]}, LIT("values"))]}]}, "7", 6),
+    ("top", joined({"stat.sample.topN": ["n", ints(9, 4, 2), 3, LESS]}), sql_joined("list_reverse_sort([9, 4, 2, n])[:3]")),
+    ("trigger", got({"stat.change.updateTrigger": [{">": ["x", 25]}, "g"]}, LIT("currentRun")), "CAST(CASE WHEN x > 25 THEN 2 ELSE 0 END AS INTEGER)"),
+    ("z", {"stat.change.zValue": ["x", "s", False]}, "(x - 20) / 2", 6),
+    ("z_unbiased", {"stat.change.zValue": ["x", "s", True]}, "(x - 20) / 2 * sqrt(10.0 / 9)", 6),
+])
+
+# distributions
+PROB = {"x": ("l_quantity / 10", "l_quantity / 10"), "p": ("l_quantity / 51", "l_quantity / 51"), "k": ("l_linenumber", "l_linenumber"), "y": ("l_discount", "l_discount")}
+P = lambda name, *a: {f"prob.dist.{name}": list(a)}
+lg = "lgamma"
+choose = lambda n, k: f"exp(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+sums = lambda term: f"list_sum(list_transform(range(0, k + 1), lambda j: {term}))"
+error_function = lambda v: f"(2 / sqrt(pi()) * list_sum(list_transform(range(0, 12), lambda j: pow(-1, j) * pow({v}, 2 * j + 1) / (factorial(CAST(j AS INTEGER)) * (2 * j + 1)))))"
+family("fn_density", "lineitem", LINE, PROB, [
+    ("erf", {"m.special.erf": ["y"]}, error_function("y"), 6),
+    ("erfc", {"m.special.erfc": ["y"]}, f"1 - {error_function('y')}", 6),
+    ("erfc_tail", {"*": [{"m.special.erfc": [6.0]}, 1e17]}, "2.1519736712498913", 6),
+    ("probit", {"m.link.probit": ["y"]}, f"0.5 + 0.5 * {error_function('(y / sqrt(2))')}", 6),
+    ("gaussian", P("gaussianLL", "x", 2.0, 1.5), "-pow((x - 2) / 1.5, 2) / 2 - ln(1.5 * sqrt(2 * pi()))", 6),
+    ("exponential", P("exponentialPDF", "x", 1.5), "1.5 * exp(-1.5 * x)", 6),
+    ("chi2", P("chi2PDF", "x", 3), "sqrt(x) * exp(-x / 2) / (pow(2, 1.5) * gamma(1.5))", 6),
+    ("poisson", P("poissonPDF", "k", 2.5), "pow(2.5, k) * exp(-2.5) / factorial(k)", 6),
+    ("gamma", P("gammaPDF", "x", 2.0, 1.5), "x * exp(-x / 1.5) / 2.25", 6),
+    ("beta", P("betaPDF", "p", 2.0, 3.0), "12 * p * (1 - p) * (1 - p)", 6),
+    ("cauchy", P("cauchyPDF", "x", 1.0, 2.0), "1 / (pi() * 2 * (1 + pow((x - 1) / 2, 2)))", 6),
+    ("f", P("fPDF", "x", 2, 4), "pow(1 + x / 2, -3)", 6),
+    ("lognormal", P("lognormalPDF", "x", 0.5, 1.5), "exp(-pow((ln(x) - 0.5) / 1.5, 2) / 2) / (x * 1.5 * sqrt(2 * pi()))", 6),
+    ("t", P("tPDF", "x", 2), "pow(2 + x * x, -1.5)", 6),
+    ("binomial", P("binomialPDF", "k", 10, 0.3), f"{choose('10', 'k')} * pow(0.3, k) * pow(0.7, 10 - k)", 6),
+    ("uniform", P("uniformPDF", "x", 1.0, 3.0), "CASE WHEN x BETWEEN 1 AND 3 THEN 0.5 ELSE 0 END", 6),
+    ("geometric", P("geometricPDF", "k", 0.3), "0.3 * pow(0.7, k)", 6),
+    ("hypergeometric", P("hypergeometricPDF", "k", 8, 12, 9), f"{choose('8', 'k')} * {choose('12', '(9 - k)')} / {choose('20', '9')}", 6),
+    ("weibull", P("weibullPDF", "x", 1.5, 2.0), "0.75 * pow(x / 2, 0.5) * exp(-pow(x / 2, 1.5))", 6),
+    ("negative", P("negativeBinomialPDF", "k", 3, 0.4), f"{choose('(k + 2)', 'k')} * pow(0.4, 3) * pow(0.6, k)", 6),
+])
+family("fn_cumulative", "lineitem", LINE, PROB, [
+    ("gaussian", P("gaussianCDF", {"+": ["y", 2.0]}, 2.0, 1.0), f"0.5 + 0.5 * {error_function('(y / sqrt(2))')}", 6),
+    ("exponential", P("exponentialCDF", "x", 1.5), "1 - exp(-1.5 * x)", 6),
+    ("chi2", P("chi2CDF", "x", 4), "1 - exp(-x / 2) * (1 + x / 2)", 6),
+    ("poisson", P("poissonCDF", "k", 2.5), sums("pow(2.5, j) * exp(-2.5) / factorial(CAST(j AS INTEGER))"), 6),
+    ("gamma", P("gammaCDF", "x", 2.0, 1.5), "1 - exp(-x / 1.5) * (1 + x / 1.5)", 6),
+    ("beta", P("betaCDF", "p", 2.0, 3.0), "p * p * (6 - 8 * p + 3 * p * p)", 6),
+    ("cauchy", P("cauchyCDF", "x", 1.0, 2.0), "0.5 + atan((x - 1) / 2) / pi()", 6),
+    ("f", P("fCDF", "x", 2, 4), "1 - pow(1 + x / 2, -2)", 6),
+    ("lognormal", P("lognormalCDF", {"m.exp": [{"+": ["y", 0.5]}]}, 0.5, 1.0), f"0.5 + 0.5 * {error_function('(y / sqrt(2))')}", 6),
+    ("t", P("tCDF", "x", 2), "0.5 + x / (2 * sqrt(2 + x * x))", 6),
+    ("binomial", P("binomialCDF", "k", 10, 0.3), sums(f"{choose('10', 'j')} * pow(0.3, j) * pow(0.7, 10 - j)"), 6),
+    ("uniform", P("uniformCDF", "x", 1.0, 3.0), "least(greatest((x - 1) / 2, 0), 1)", 6),
+    ("geometric", P("geometricCDF", "k", 0.3), "1 - pow(0.7, k + 1)", 6),
+    ("hypergeometric", P("hypergeometricCDF", "k", 8, 12, 9), sums(f"{choose('8', 'j')} * {choose('12', '(9 - j)')} / {choose('20', '9')}"), 6),
+    ("weibull", P("weibullCDF", "x", 1.5, 2.0), "1 - exp(-pow(x / 2, 1.5))", 6),
+    ("negative", P("negativeBinomialCDF", "k", 3, 0.4), sums(f"{choose('(j + 2)', 'j')} * pow(0.4, 3) * pow(0.6, j)"), 6),
+])
+
+
+def inverts(name, *a):
+    """The quantile is the smallest whole number whose distribution function reaches p."""
+    q = P(f"{name}QF", "p", *a)
+    return {"&&": [{">=": [{"+": [P(f"{name}CDF", q, *a), 1e-9]}, "p"]}, {"<": [{"-": [P(f"{name}CDF", {"-": [q, 1.0]}, *a), 1e-9]}, "p"]}]}
+
+
+family("fn_quantile", "lineitem", LINE, PROB, [
+    ("gaussian", P("gaussianCDF", P("gaussianQF", "p", 2.0, 1.0), 2.0, 1.0), "p", 6),
+    ("exponential", P("exponentialQF", "p", 1.5), "-ln(1 - p) / 1.5", 6),
+    ("chi2", P("chi2QF", "p", 2), "-2 * ln(1 - p)", 6),
+    ("poisson", inverts("poisson", 2.5), "true"),
+    ("gamma", P("gammaQF", "p", 1.0, 1.5), "-1.5 * ln(1 - p)", 6),
+    ("beta", P("betaQF", "p", 1.0, 3.0), "1 - pow(1 - p, 1 / 3.0::DOUBLE)", 6),
+    ("cauchy", P("cauchyQF", "p", 1.0, 2.0), "1 + 2 * tan(pi() * (p - 0.5))", 6),
+    ("f", P("fQF", "p", 2, 4), "2 * (pow(1 - p, -0.5) - 1)", 6),
+    ("lognormal", P("lognormalCDF", P("lognormalQF", "p", 0.5, 1.0), 0.5, 1.0), "p", 6),
+    ("t", P("tQF", "p", 2), "(2 * p - 1) / sqrt(2 * p * (1 - p))", 6),
+    ("binomial", inverts("binomial", 10, 0.3), "true"),
+    ("uniform", P("uniformQF", "p", 1.0, 3.0), "1 + 2 * p", 6),
+    ("geometric", inverts("geometric", 0.3), "true"),
+    ("hypergeometric", inverts("hypergeometric", 8, 12, 9), "true"),
+    ("weibull", P("weibullQF", "p", 1.5, 2.0), "2 * pow(-ln(1 - p), 1 / 1.5::DOUBLE)", 6),
+    ("negative", inverts("negativeBinomial", 3, 0.4), "true"),
+])
+
+# random values, by what every draw must satisfy; enumerations and fixed bytes
+POOL = ints(3, 5, 7, 9)
+within = lambda draw, low, high: {"do": [{"let": {"drawn": draw}}, {"&&": [{">=": ["drawn", low]}, {"<": ["drawn", high]}]}]}
+COLOUR = {"type": "enum", "name": "Colour", "symbols": ["red", "green", "blue"]}
+FOUR = {"type": "fixed", "name": "Four", "size": 4}
+family("fn_random", "lineitem", LINE, {"n": DATA["n"]}, [
+    ("int_", within({"rand.int": [3, 9]}, 3, 9), "true"),
+    ("long_", within({"rand.long": [{"long": 3}, {"long": 9}]}, 3, 9), "true"),
+    ("float_", within({"rand.float": [1.0, 2.0]}, 1.0, 2.0), "true"),
+    ("double_", within({"rand.double": [1.0, 2.0]}, 1.0, 2.0), "true"),
+    ("choice", within({"rand.choice": [POOL]}, 3, 10), "true"),
+    ("choices", {"a.subset": [{"rand.choices": ["n", POOL]}, POOL]}, "true"),
+    ("n_choices", {"a.len": [{"rand.choices": ["n", POOL]}]}, "CAST(n AS INTEGER)"),
+    ("sample", {"a.len": [{"a.distinct": [{"rand.sample": [3, POOL]}]}]}, "CAST(3 AS INTEGER)"),
+    ("histogram", within({"rand.histogram": [row(0.0, 1.0, 2.0, 0.0)]}, 1, 3), "true"),
+    ("string_", {"s.len": [{"rand.string": ["n"]}]}, "CAST(n AS INTEGER)"),
+    ("letters", {"re.contains": [{"rand.string": [12, LIT("xyz")]}, LIT("^[xyz]{12}$")]}, "true"),
+    ("bytes_", {"bytes.len": [{"rand.bytes": ["n"]}]}, "CAST(n AS INTEGER)"),
+    ("uuid_", {"s.len": [{"rand.uuid": []}]}, "CAST(36 AS INTEGER)"),
+    ("uuid4", {"re.contains": [{"rand.uuid4": []}, LIT("^[0-9a-f-]{14}4[0-9a-f-]{21}$")]}, "true"),
+    ("gaussian", {"impute.isnum": [{"rand.gaussian": [0.0, 1.0]}]}, "true"),
+    ("symbol", {"enum.toString": [constant("green", COLOUR)]}, "'green'"),
+    ("place", {"enum.toInt": [constant("green", COLOUR)]}, "CAST(1 AS INTEGER)"),
+    ("symbols", {"enum.numSymbols": [constant("green", COLOUR)]}, "CAST(3 AS INTEGER)"),
+    ("fixed_", {"bytes.len": [{"fixed.toBytes": [constant("abcd", FOUR)]}]}, "CAST(4 AS INTEGER)"),
+    ("filled", {"bytes.decodeAscii": [{"fixed.toBytes": [{"fixed.fromBytes": [constant("abcd", FOUR), UTF8(LIT("xy"))]}]}]}, "'xycd'"),
+])

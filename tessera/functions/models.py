@@ -186,6 +186,7 @@ def kolmogorov(x, y):
 def mahalanobis(x, mean, cov):
     from .numeric import inverse
 
+    mean, cov = (v.column if isinstance(v, Const) else v for v in (mean, cov))
     diff = F.zip_with(x, mean, lambda a, b: a - b)
     inv = inverse(cov)
     return F.sqrt(dot(diff, F.transform(inv, lambda r: dot(r, diff))))

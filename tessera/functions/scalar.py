@@ -439,8 +439,8 @@ define_all("bytes.", {
 })
 define_all("fixed.", {"toBytes": lambda x: x, "fromBytes": lambda x, r: F.concat(F.substring(r, F.lit(1), F.length(x)), F.substring(x, F.length(r) + 1, F.length(x)))})
 define_all("enum.", {
-    "toString": lambda x, *_: x,
-    "toInt": lambda x, symbols: i(F.array_position(F.array(*map(F.lit, symbols.value)), x) - 1),
+    "toString": lambda x, *_: x.column if isinstance(x, Const) else x,
+    "toInt": lambda x, symbols: i(F.array_position(F.array(*map(F.lit, symbols.value)), x.column if isinstance(x, Const) else x) - 1),
     "numSymbols": lambda x, symbols: F.lit(len(symbols.value)),
 })
 

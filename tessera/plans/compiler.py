@@ -51,7 +51,7 @@ def part(c: Column, key: Any) -> Column:
     if isinstance(kind, T.ArrayType):
         n = F.when(key < 0, F.size(c) + key).otherwise(key)
         return mark(F.when((n < 0) | (n >= F.size(c)), fail(17001, "index out of range")).otherwise(F.get(c, n)), kind.elementType)
-    return c.getField(key) if isinstance(key, str) else c.getItem(key)
+    return c.getField(key) if isinstance(key, str) else F.get(c, key)  # the type isn't known: a whole number is a place
 
 
 class Compiler:
@@ -136,7 +136,7 @@ class Compiler:
             raise SemanticError(f"unknown function {name!r}")
         if name.startswith("enum.") and len(values) == 1:
             values.append(Const(self._symbols(args[0])))
-        constant = name.startswith(("model.", "cast.fanout", "interp."))
+        constant = name.startswith(("model.", "cast.fanout", "interp.", "enum."))
         out = LIBRARY[name](*(v if callable(v) and not isinstance(v, Column) or constant and isinstance(v, Const) else self.column(v) for v in values))
         return self.typed(name, out, values)
 
@@ -153,7 +153,7 @@ class Compiler:
                 mark(out, first)
             elif name in ITEM and isinstance(first, T.ArrayType):
                 mark(out, first.elementType)
-        if isinstance(out, Column) and name.startswith("stat.") and type_of(out) is None:
+        if isinstance(out, Column) and name.startswith("stat.") and name.split(".")[-1].startswith(("update", "fill")) and name != "stat.sample.updateWindow" and type_of(out) is None:
             for v in values:
                 k = type_of(v) if isinstance(v, Column) else None
                 if isinstance(k, T.StructType):
@@ -161,6 +161,10 @@ class Compiler:
         return out
 
     def _symbols(self, e: Any) -> list[str]:
+        if isinstance(e, dict) and "value" in e and "type" in e:
+            t = self.types.resolve(e["type"])
+            if isinstance(t, dict) and t.get("type") == "enum":
+                return t["symbols"]
         field = e.split(".")[-1] if isinstance(e, str) else None
         for s in self.types.named.values():
             for f in s.get("fields", ()):
