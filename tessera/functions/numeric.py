@@ -48,8 +48,39 @@ def _eigen_basis(m: np.ndarray):
     return (vectors * signs / np.sqrt(np.where(values > 0, values, np.nan))).T.tolist()
 
 
-inverse = numpy_udf(lambda m: np.linalg.inv(m).tolist(), MATRIX)
-determinant = numpy_udf(lambda m: float(np.linalg.det(m)), T.DoubleType())
+
+
+def _eliminated(m, state, k):
+    """One column of Gauss-Jordan elimination with row exchange: the new rows and the determinant so far."""
+    worst = F.aggregate(upto(size(m)), k, lambda best, j: F.when((j > k) & (F.abs(at(at(m, j), k)) > F.abs(at(at(m, best), k))), j).otherwise(best))
+
+    def exchanged(p):
+        def reduced(head):
+            lead = at(head, k)
+            row = F.transform(head, lambda v: F.when(lead == 0, v).otherwise(v / lead))
+            others = lambda row: F.transform(m, lambda r, j: F.when(j == k, row).otherwise(let(F.when(j == p, at(m, k)).otherwise(r), lambda own: F.zip_with(own, row, lambda v, w: v - at(own, k) * w))))
+            return let(row, lambda row: F.struct(others(row).alias("rows"), (state["det"] * lead * F.when(p == k, 1.0).otherwise(-1.0)).alias("det")))
+
+        return let(at(m, p), reduced)
+
+    return let(worst, exchanged)
+
+
+def solved(m) -> Column:
+    """The inverse beside the unit matrix, and the determinant; a singular matrix has determinant 0."""
+    unit = lambda r, j: F.concat(F.transform(r, lambda v: v.cast("double")), F.transform(r, lambda _, c: F.when(c == j, 1.0).otherwise(0.0)))
+    start = F.struct(F.transform(m, unit).alias("rows"), F.lit(1.0).alias("det"))
+    return F.aggregate(upto(size(m)), start, lambda state, k: _eliminated(state["rows"], state, k))
+
+
+def inverse(m) -> Column:
+    return let(solved(m), lambda s: F.when(s["det"] == 0, fail(24050, "singular matrix")).otherwise(F.transform(s["rows"], lambda r: F.slice(r, size(s["rows"]) + 1, size(s["rows"])))))
+
+
+def determinant(m) -> Column:
+    return solved(m)["det"]
+
+
 eigen_basis = numpy_udf(_eigen_basis, MATRIX)
 
 

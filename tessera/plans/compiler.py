@@ -41,7 +41,7 @@ def type_of(c: Any) -> T.DataType | None:
     return trait(c, "_type")
 
 
-def part(c: Column, key: Any) -> Column:
+def part(c: Column, key: Any, place: bool = False) -> Column:
     """One step of a path: a field, an item or a value."""
     kind = type_of(c)
     if isinstance(kind, T.StructType):
@@ -51,7 +51,9 @@ def part(c: Column, key: Any) -> Column:
     if isinstance(kind, T.ArrayType):
         n = F.when(key < 0, F.size(c) + key).otherwise(key)
         return mark(F.when((n < 0) | (n >= F.size(c)), fail(17001, "index out of range")).otherwise(F.get(c, n)), kind.elementType)
-    return c.getField(key) if isinstance(key, str) else F.get(c, key)  # the type isn't known: a whole number is a place
+    if isinstance(key, str):
+        return c.getField(key)
+    return F.get(c, key) if place else c[key]  # the type isn't known, but a whole number is a place
 
 
 class Compiler:
@@ -300,7 +302,7 @@ class Compiler:
         if "to" in e:
             return self.updated(target, path, e["to"], env)
         for p in path:
-            target = part(target, F.lit(p) if isinstance(p, int) or isinstance(type_of(target), T.MapType) and isinstance(p, str) else p)
+            target = part(target, F.lit(p) if isinstance(p, int) or isinstance(type_of(target), T.MapType) and isinstance(p, str) else p, isinstance(p, int))
         return target
 
     def updated(self, target: Column, path: list, to: Any, env: dict) -> Column:
