@@ -360,7 +360,7 @@ shift = "((x - 20) * 2 / 12)"
 family("fn_sample", "lineitem", LINE, SAMPLE, [
     ("mean", got({"stat.sample.update": ["x", 2.0, "s"]}, LIT("mean")), f"20 + {shift}", 6),
     ("variance", got({"stat.sample.update": ["x", 2.0, "s"]}, LIT("variance")), f"(40 + 2 * (x - 20) * (x - 20 - {shift})) / 12", 6),
-    ("covariance", got({"stat.sample.updateCovariance": [row("x", "y"), 2.0, "v"]}, LIT("covariance"), 0, 1), "(0.1 * 10 + (x - 20) * (y - 0.05::DOUBLE) * 2 * 10 / 12) / 12", 6),
+    ("covariance", {"+": [1.0, got({"stat.sample.updateCovariance": [row("x", "y"), 2.0, "v"]}, LIT("covariance"), 0, 1)]}, "1 + (0.1 * 10 + (x - 20) * (y - 0.05::DOUBLE) * 2 * 10 / 12) / 12", 6),
     ("window", got({"stat.sample.updateWindow": ["x", 1.0, "u", 2]}, 1, LIT("variance")), "pow((x - 30) / 2, 2)", 6),
     ("ewma", got({"stat.sample.updateEWMA": ["x", 0.25, "e"]}, LIT("mean")), "20 + 0.25 * (x - 20)", 6),
     ("ewma_variance", got({"stat.sample.updateEWMA": ["x", 0.25, "e"]}, LIT("variance")), "0.75 * (4 + 0.25 * pow(x - 20, 2))", 6),

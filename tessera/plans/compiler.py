@@ -19,7 +19,8 @@ from ..functions import LIBRARY, Const
 from ..functions.registry import fail, lam, trait
 from ..types import SchemaError, Types
 
-MAX_ITERATIONS = 1000
+MAX_ITERATIONS = 10_000  # beyond it a loop raises; steps are only taken while it goes on
+KNOWN = {"name", "version", "doc", "metadata", "options", "method", "input", "output", "action", "fcns", "zero", "merge", "cells", "pools"}
 EMIT = "%emit"
 
 
@@ -56,6 +57,21 @@ def part(c: Column, key: Any, place: bool = False) -> Column:
     return F.get(c, key) if place else c[key]  # the type isn't known, but a whole number is a place
 
 
+def external(store: dict) -> Any:
+    """The initial value of a cell or pool: embedded, or read once from a JSON file in any file system Arrow knows."""
+    kind = store.get("source", "embedded")
+    if kind == "embedded":
+        return store["init"]
+    if kind != "json":
+        raise SemanticError(f"a model source of {kind!r} isn't supported")
+    import pyarrow.fs as pafs
+
+    place = store["init"]
+    files, path = pafs.FileSystem.from_uri(place) if "://" in place or place.startswith("file:") else (pafs.LocalFileSystem(), place)
+    with files.open_input_stream(path) as f:
+        return json.loads(f.read())
+
+
 class Compiler:
     def __init__(self, document: dict, max_iterations: int = MAX_ITERATIONS):
         self.doc, self.limit = document, max_iterations
@@ -324,7 +340,7 @@ class Compiler:
         if "to" in e:
             raise SemanticError("mutable cells need a stateful plan: see tessera.streaming")
         cell = self.doc["cells"][e["cell"]]
-        value, schema = cell["init"], cell["type"]
+        value, schema = external(cell), cell["type"]
         if "path" not in e:
             return self.literal(value, schema)
         return self.do_attr({"attr": "%cell", "path": e["path"]}, {**env, "%cell": self.literal(value, schema)})
@@ -333,7 +349,7 @@ class Compiler:
         if "to" in e or "del" in e:
             raise SemanticError("mutable pools need a stateful plan: see tessera.streaming")
         pool = self.doc["pools"][e["pool"]]
-        table = self.literal(pool["init"], {"type": "map", "values": pool["type"]})
+        table = self.literal(external(pool), {"type": "map", "values": pool["type"]})
         return self.do_attr({"attr": "%pool", "path": e["path"]}, {**env, "%pool": table})
 
     def do_if(self, e, env):
@@ -406,7 +422,18 @@ class Compiler:
 
         if test_last:
             env["%done"] = F.lit(False)
-        self.loop(F.sequence(F.lit(1), F.lit(self.limit)), [*names, *(["%done"] if test_last else [])], env, step)
+        every = [*names, *(["%done"] if test_last else [])]
+        width = max(1, round(self.limit**0.5))
+
+        def stride(own: dict, _: Column) -> None:
+            """`width` steps, which are only taken if the loop still goes on."""
+            go = ~own["%done"] if test_last else self.column(self.expr(test, own))
+            inner = dict(own)
+            self.loop(F.when(go, F.sequence(F.lit(1), F.lit(width))).otherwise(F.array().cast("array<int>")), every, inner, step)
+            for n in every:
+                own[n] = inner[n]
+
+        self.loop(F.sequence(F.lit(1), F.lit(-(-self.limit // width))), every, env, stride)
         still = ~env.pop("%done") if test_last else self.column(self.expr(test, env))
         for n in names:
             env[n] = mark(F.when(still, fail(49000, "too many iterations")).otherwise(self.column(env[n])), type_of(env[n]))
@@ -562,6 +589,8 @@ class Engine:
         for need in ("input", "output", "action"):
             if need not in self.document:
                 raise SemanticError(f"a document needs {need!r}")
+        if unknown := {k for k in set(self.document) - KNOWN if self.document[k] not in (None, [], {})}:
+            raise SemanticError(f"not supported in a document: {', '.join(sorted(unknown))}")
         self.method = self.document.get("method", "map")
         if self.method not in ("map", "emit", "fold"):
             raise SemanticError(f"unknown method {self.method!r}")
@@ -585,37 +614,57 @@ class Engine:
         c = self.compiler
         return c.cast(c.many(self.document["action"], c.input_env(df)), self.document["output"])
 
-    def fold(self, df: DataFrame, name: str = "output", chunk: int = 4096) -> DataFrame:
-        """A tree of bounded folds: rows of a chunk by the action, then chunks of tallies by merge, until one is left.
-
-        A chunk is a run of consecutive rows of one partition, so no task ever holds more than `chunk` rows of a group,
-        and order within a chunk is kept; merge must be associative, as the document's contract says.
+    def native(self, env: dict) -> Column | None:
+        """A fold that is one of Spark's aggregates: a sum or an extreme of something that doesn't read the tally."""
+        doc, c = self.document, self.compiler
+        action = doc["action"][0] if isinstance(doc["action"], list) and len(doc["action"]) == 1 else doc["action"]
+        merge = doc["merge"][0] if isinstance(doc["merge"], list) and len(doc["merge"]) == 1 else doc["merge"]
+        for op, total in (("+", F.sum), ("max", F.max), ("min", F.min)):
+            if isinstance(action, dict) and set(action) == {op} and merge in ({op: ["tallyOne", "tallyTwo"]}, {op: ["tallyTwo", "tallyOne"]}) and "tally" in action[op]:
+                own = [x for x in action[op] if x != "tally"]
+                if len(own) == 1 and "tally" not in json.dumps(own[0]) and doc["output"] in ("int", "long", "float", "double"):
+                    kind = c.types.spark(doc["output"])
+                    zero, value = c.literal(doc["zero"], doc["output"]).column, total(c.column(c.expr(own[0], dict(env))).cast(kind))
+                    whole = F.coalesce(value, F.lit(0).cast(kind)) + zero if op == "+" else {"max": F.greatest, "min": F.least}[op](value, zero)
+                    return whole.cast(kind)
+        return None
+
+    def fold(self, df: DataFrame, name: str = "output") -> DataFrame:
+        """The final tally. Sums and extremes are Spark's own aggregates. Other folds run where the rows are: an Arrow batch
+        becomes one row with an array, which is folded in the same task, and only tallies are shuffled, in the order of
+        partitions and batches, a bounded number to a merge; merge must be associative, as the document's contract says.
         """
         c, schema = self.compiler, self.document["output"]
         kind = c.types.spark(schema)
-        zero = c.literal(self.document["zero"] if not isinstance(self.document["zero"], str) or schema == "string" else json.loads(self.document["zero"]), schema).column
         env = c.input_env(df)
-        rows = df.select(F.monotonically_increasing_id().alias("id"), env["input"].alias("input"))
-        rows = rows.withColumn("chunk", F.call_function("div", F.col("id"), F.lit(chunk)))
-        grouped = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("id", "input"))).alias("rows"))
+        if (plain := self.native(env)) is not None:
+            return df.agg(plain.alias(name))
+        zero = c.literal(self.document["zero"] if not isinstance(self.document["zero"], str) or schema == "string" else json.loads(self.document["zero"]), schema).column
+        inputs = df.select(env["input"].alias("input"))
+
+        def gather(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                rows = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
+                yield pa.RecordBatch.from_arrays([rows], ["rows"])
+
+        grouped = inputs.mapInArrow(gather, T.StructType([T.StructField("rows", T.ArrayType(inputs.schema["input"].dataType))]))
 
         def act(tally: Column, row: Column) -> Column:
-            own = {**env, "input": mark(row["input"], type_of(env["input"])), "tally": mark(tally, kind)}
+            own = {**env, "input": mark(row, type_of(env["input"])), "tally": mark(tally, kind)}
             return c.cast(c.many(self.document["action"], own), schema)
 
-        tallies = grouped.select("chunk", F.aggregate("rows", zero, act).alias("tally"))
-        many = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        for levels in (1, 2):  # tallies meet by shuffle partition, then in one row
-            up = tallies.withColumn("up", F.pmod(F.xxhash64("chunk"), F.lit(max(1, int(many)))) if levels == 1 else F.lit(0))
-            merged = up.groupBy("up").agg(F.array_sort(F.collect_list(F.struct("chunk", "tally"))).alias("parts"))
-
-            def merge(one: Column, two: Column) -> Column:
-                own = {"tallyOne": mark(one, kind), "tallyTwo": mark(two["tally"], kind)}
-                return c.cast(c.many(self.document["merge"], own), schema)
+        def merge(one: Column, two: Column) -> Column:
+            own = {"tallyOne": mark(one, kind), "tallyTwo": mark(two["tally"], kind)}
+            return c.cast(c.many(self.document["merge"], own), schema)
 
+        tallies = grouped.select(F.monotonically_increasing_id().alias("id"), F.aggregate("rows", zero, act).alias("tally"))
+        for width in (4096, 1 << 41, 1 << 62):  # batches of a partition, then 256 partitions, then all
+            merged = tallies.groupBy(F.call_function("div", F.col("id"), F.lit(width)).alias("up")).agg(F.min("id").alias("id"), F.array_sort(F.collect_list(F.struct("id", "tally"))).alias("parts"))
             first = F.get("parts", F.lit(0))["tally"]
-            tallies = merged.select(F.col("up").alias("chunk"), F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), first, merge).alias("tally"))
-        return tallies.select(F.col("tally").alias(name))
+            tallies = merged.select("id", F.aggregate(F.slice("parts", F.lit(2), F.size("parts")), first, merge).alias("tally"))
+        return tallies.agg(F.coalesce(F.first("tally"), zero).alias(name))
 
 
 def engine(document: dict | str, **options: Any) -> Engine:

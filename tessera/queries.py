@@ -304,22 +304,6 @@ def model_cluster(spark, sf_dir):
     return Engine(doc).score(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@register("distributions")
-def distributions(spark, sf_dir):
-    x = F.col("l_quantity") / 10
-    from .functions import LIBRARY as L
-
-    cols = [
-        L["prob.dist.gaussianCDF"](x, F.lit(2.0), F.lit(1.0)).alias("gaussian"),
-        L["prob.dist.chi2CDF"](x, F.lit(3)).alias("chi2"),
-        L["prob.dist.tCDF"](x, F.lit(5)).alias("t"),
-        L["prob.dist.betaCDF"](x / 6, F.lit(2.0), F.lit(3.0)).alias("beta"),
-        L["prob.dist.weibullCDF"](x, F.lit(1.5), F.lit(2.0)).alias("weibull"),
-        L["prob.dist.gammaPDF"](x, F.lit(2.0), F.lit(1.5)).alias("gamma"),
-    ]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *cols)
-
-
 @register("row_filter", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 100000")
 def row_filter(spark, sf_dir):
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_totalprice > 100000").select("o_orderkey", "o_totalprice")
@@ -338,9 +322,9 @@ def semi_join(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@register("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)")
 def anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").filter("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("group_by", "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS avg_price, count(*) AS n FROM lineitem GROUP BY ALL")
@@ -364,9 +348,9 @@ def set_intersect(spark, sf_dir):
     return a.intersect(table(spark, sf_dir, "part").filter("p_size < 10").select("p_partkey"))
 
 
-@register("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 30")
+@register("set_except", "SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 49")
 def set_except(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").filter("l_quantity > 30").select("l_partkey"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).subtract(table(spark, sf_dir, "lineitem").filter("l_quantity > 49").select("l_partkey"))
 
 
 @register("top_n", "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) WHERE rn <= 3")
@@ -405,9 +389,38 @@ def asof_join(spark, sf_dir):
     return ops.as_of(left, right, "user_id", "ts", ["ts"], prefix="last_").select("event_id", "last_ts")
 
 
-@register("sampling_histogram")
+@register("sampling_histogram", "SELECT l_returnflag, true AS near FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1")
 def sampling_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").sampleBy("l_returnflag", {"R": 0.5, "A": 0.25}, seed=7).select("l_orderkey", "l_linenumber")
+    """A stratified sample: the share of each stratum is within five standard deviations of what was asked for."""
+    lines, asked = table(spark, sf_dir, "lineitem"), {"R": 0.5, "A": 0.25}
+    kept = lines.sampleBy("l_returnflag", asked, seed=7).groupBy("l_returnflag").agg(F.count("*").alias("k"))
+    share = F.when(F.col("l_returnflag") == "R", asked["R"]).otherwise(asked["A"])
+    near = F.abs(F.col("k") - share * F.col("n")) <= 5 * F.sqrt(F.col("n") * share * (1 - share))
+    return lines.groupBy("l_returnflag").agg(F.count("*").alias("n")).join(kept, "l_returnflag").select("l_returnflag", near.alias("near"))
+
+
+@register("score_fold_general", "SELECT round(sum(l_extendedprice), 2) AS total, count(*) AS rows FROM lineitem WHERE l_quantity > 10")
+def score_fold_general(spark, sf_dir):
+    """A tally that isn't a plain sum: a record, changed in a branch."""
+    tally = record("Tally", total="double", rows="long")
+    more = {"new": {"total": {"+": ["tally.total", "input.l_extendedprice"]}, "rows": {"+": ["tally.rows", {"long": 1}]}}, "type": "Tally"}
+    both = {"new": {"total": {"+": ["tallyOne.total", "tallyTwo.total"]}, "rows": {"+": ["tallyOne.rows", "tallyTwo.rows"]}}, "type": "Tally"}
+    doc = {"method": "fold", "zero": {"total": 0.0, "rows": 0}, "input": LINEITEM, "output": tally, "action": {"if": {">": ["input.l_quantity", 10]}, "then": more, "else": "tally"}, "merge": both}
+    return Engine(doc).score(table(spark, sf_dir, "lineitem")).select(F.round("output.total", 2).alias("total"), F.col("output.rows").alias("rows"))
+
+
+@register("score_fold_max", "SELECT max(l_extendedprice * (1 - l_discount)) AS output FROM lineitem")
+def score_fold_max(spark, sf_dir):
+    net = {"*": ["input.l_extendedprice", {"-": [1, "input.l_discount"]}]}
+    doc = {"method": "fold", "zero": 0.0, "input": LINEITEM, "output": "double", "action": {"max": ["tally", net]}, "merge": {"max": ["tallyOne", "tallyTwo"]}}
+    return Engine(doc).score(table(spark, sf_dir, "lineitem"))
+
+
+@register("online_moments", "SELECT l_returnflag, l_orderkey, l_linenumber, round(avg(l_quantity) OVER w, 6) AS mean, round(var_pop(l_quantity) OVER w, 4) AS variance FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)")
+def online_moments(spark, sf_dir):
+    """Running moments of each key's rows in order."""
+    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.round(F.avg("l_quantity").over(w), 6).alias("mean"), F.round(F.var_pop("l_quantity").over(w), 4).alias("variance"))
 
 
 @register("running_stats", "SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS count, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 4) AS variance FROM lineitem GROUP BY 1")
