@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, release, slices
-from .tokens import encoder
+from .tokens import CACHE_PIECES, encoder
 
 BLOCK, ISLANDS, EPOCHS, POPULATION, PATIENCE = 16384, 2, 2, 6, 12
 REPLACED = 200  # displaced pieces, the longest, that may take the place of shorter ones in a child
@@ -165,9 +165,9 @@ def evolve(lengths: np.ndarray, capacity: int, seed: int, elites: list[np.ndarra
     return out
 
 
-def _tokenise(vocabulary: str, end_id: int, capacity: int):
+def _tokenise(vocabulary: str, end_id: int, capacity: int, pieces: int):
     def run(batches):
-        encode = encoder(vocabulary).encode
+        encode = encoder(vocabulary, pieces).encode
         for whole in batches:
             for batch in slices(whole, limit=4 << 20):
                 columns: list[list] = [[], [], [], [], []]
@@ -188,10 +188,13 @@ def _tokenise(vocabulary: str, end_id: int, capacity: int):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece."""
+def pack(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block: int = BLOCK, islands: int = ISLANDS, epochs: int = EPOCHS, cache: int = CACHE_PIECES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row per piece.
+
+    cache is the number of text pieces whose ids each worker keeps: memory against time, results don't depend on it.
+    """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("_row", F.monotonically_increasing_id())
-    pieces = rows.mapInArrow(_tokenise(vocabulary, end_id, capacity), "doc_id long, _row long, piece long, start long, length long, ids_crc32 long")
+    pieces = rows.mapInArrow(_tokenise(vocabulary, end_id, capacity, cache), "doc_id long, _row long, piece long, start long, length long, ids_crc32 long")
     scratch = Scratch(docs.sparkSession)
     pieces = scratch.save(pieces, "pieces")
     small = pieces.filter(F.col("length") < capacity)

@@ -20,7 +20,7 @@ import regex
 
 from .common import CACHES
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 LONGEST_PIECE = 64
 MODEL_PIECES = 5000
 FIRST = "\ufdd0"  # a noncharacter: marks what has no space before it; texts that hold it go whole
@@ -37,11 +37,13 @@ def byte_characters() -> str:
 
 
 class Encoder:
-    """Encodes texts to ids; its memory is bounded by CACHE_PIECES short pieces."""
+    """Encodes texts to ids; its memory is bounded by a number of short pieces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = CACHE_PIECES):
+        self.limit = pieces
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
@@ -53,7 +55,11 @@ class Encoder:
             bare = spec | {"normalizer": None, "post_processor": None, "added_tokens": [], "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}}
             self.bare = Tokenizer.from_str(json.dumps(bare))
             end = spec["model"].get("end_of_word_suffix") or ""
-            words = spec["model"]["vocab"]
+            words, merges = spec["model"]["vocab"], [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+            # unseen pre-tokens only: a cache of the library's own would never be hit
+            kept = {k: spec["model"][k] for k in ("end_of_word_suffix", "ignore_merges", "fuse_unk") if spec["model"].get(k)}
+            self.bare.model = BPE(words, merges, cache_capacity=0, **kept)
+            del merges, bare
             self.length = np.zeros(max(words.values()) + 1, np.int64)
             for w, i in words.items():
                 self.length[i] = len(w.removesuffix(end)) if end else len(w)
@@ -90,7 +96,7 @@ class Encoder:
         n = len(self.of)
         uses = self.uses[:n]
         least = 2
-        while (uses >= least).sum() > CACHE_PIECES // 2:
+        while (uses >= least).sum() > self.limit // 2:
             least += 1
         kept = [(p, k) for p, k in self.of.items() if uses[k] >= least]
         ids, sizes = self._gather(np.array([k for _, k in kept], np.int64))
@@ -140,12 +146,14 @@ class Encoder:
         easy = [p for p in pieces if p.isascii() and p.isalpha() and (not self.lower or p.islower())] if self.cutter else []
         self._learn_words(easy)
         pieces = [p for p in pieces if p not in self.of] if easy else pieces
+        pieces, parts, counts = self._by_shape(pieces)
+        joined, new, count = pieces[: len(counts)], {}, len(counts)
+        pieces = pieces[count:]
         texts = list(map(self._text, pieces))
         plain = [bool(self.cutter and _PLAIN.fullmatch(t, 1 if t.startswith(" ") else 0)) for t in texts]
         for piece, ids in self._in_library([(p, t) for p, t, ok in zip(pieces, texts, plain, strict=True) if not ok]):
             self._store([piece], np.array(ids, np.uint32), np.array([len(ids)]))
         cut = self.cutter.findall if self.cutter else None
-        joined, parts, counts, new = [], [], [], {}
         for piece, text, ok in zip(pieces, texts, plain, strict=True):
             if not ok:
                 continue
@@ -173,6 +181,24 @@ class Encoder:
             ids = np.concatenate([ids[:0], *(ids[ends[j] : ends[j + 1]] for j in mine)])
         self._store([joined[j] for j in mine], ids, np.diff(ends)[mine])
 
+    def _by_shape(self, pieces: list[str]) -> tuple[list[str], list[str], list[int]]:
+        """Pieces of two frequent shapes first, letters with one sign after them or a line feed before them, with their
+        pre-tokens and how many each has; then the others, which the expression cuts.
+        """
+        if not self.cutter:
+            return pieces, [], []
+        first, parts, rest, mark = [], [], [], FIRST if self.spaced else ""
+        for p in pieces:
+            if p.isascii() and p[:-1].isalpha() and p[-1:] in ".,;:!?" and (not self.lower or p.islower()):
+                parts += (p[:-1], mark + p[-1])
+            elif self.spaced and p[:1] == "\n" and p.isascii() and p[1:].isalpha():
+                parts += ("\n", mark + p[1:])
+            else:
+                rest.append(p)
+                continue
+            first.append(p)
+        return first + rest, parts, [2] * len(first)
+
     def _in_library(self, rest: list[tuple[str, str]]):
         return zip((p for p, _ in rest), self._whole([t for _, t in rest]), strict=True)
 
@@ -190,7 +216,7 @@ class Encoder:
             self._store(words[i : i + MODEL_PIECES], ids, np.diff(np.r_[0, at]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.of) > CACHE_PIECES:
+        if len(self.of) > self.limit:
             self.shrink()
         out: list = [None] * len(texts)
         odd, cut, every, counts = [], [], [], []
@@ -239,10 +265,10 @@ _ENCODERS: dict[str, Encoder] = {}
 CACHES.append(_ENCODERS)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, pieces: int = CACHE_PIECES) -> Encoder:
     """One encoder a worker and vocabulary, kept over tasks."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        _ENCODERS[path] = Encoder(path, pieces)
     return _ENCODERS[path]
 
 
