@@ -48,7 +48,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of the remaining documents with their sequences; null texts count as empty, ties are settled by rows' order."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), 2, 1024)
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), 2, 1024, cache=400_000)  # other stages share the executors
 
 
 STAGES = [
