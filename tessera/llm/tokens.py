@@ -20,7 +20,7 @@ import regex
 
 from .common import CACHES
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 1_000_000
 LONGEST_PIECE = 64
 MODEL_PIECES = 5000
 FIRST = "\ufdd0"  # a noncharacter: marks what has no space before it; texts that hold it go whole
@@ -88,7 +88,7 @@ class Encoder:
     def clear(self) -> None:
         self.of: dict[str, int] = {}
         self.flat = np.empty(1 << 16, np.uint32)
-        self.start, self.size, self.used = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+        self.start, self.size, self.used = np.empty(1 << 14, np.int32), np.empty(1 << 14, np.int32), 0
         self.uses = np.zeros(1 << 14, np.int32)
 
     def shrink(self) -> None:
@@ -99,7 +99,7 @@ class Encoder:
         while (uses >= least).sum() > self.limit // 2:
             least += 1
         kept = [(p, k) for p, k in self.of.items() if uses[k] >= least]
-        ids, sizes = self._gather(np.array([k for _, k in kept], np.int64))
+        ids, sizes = self._gather(np.array([k for _, k in kept], np.int32))
         self.clear()
         self._store([p for p, _ in kept], ids, sizes)
 
@@ -118,14 +118,14 @@ class Encoder:
         self.used += len(ids)
 
     def _find(self, pieces: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.of.get, pieces, repeat(-1)), np.int64, len(pieces))
+        return np.fromiter(map(self.of.get, pieces, repeat(-1)), np.int32, len(pieces))
 
     def _gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, end to end, and how many each has."""
         sizes = self.size[places]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int32)
         take = np.repeat(self.start[places] - (ends - sizes), sizes)
-        take += np.arange(len(take))
+        take += np.arange(len(take), dtype=np.int32)
         return self.flat[take], sizes
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
