@@ -22,7 +22,7 @@ def _nan() -> Column:
 
 def divide(x, y):
     x, y = d(x), d(y)
-    by_zero = F.when(F.isnan(x) | (x == 0), _nan()).when((x > 0) == (F.atan2(F.lit(0.0), y) == 0), _inf()).otherwise(-_inf())
+    by_zero = F.when(F.isnan(x) | (x == 0), _nan()).when((x > 0) != y.cast("string").startswith("-"), _inf()).otherwise(-_inf())
     return F.when(y == 0, by_zero).otherwise(x / y)
 
 
@@ -59,7 +59,7 @@ def power(x, y):
 
 def negative(x) -> Column:
     """Whether the sign is minus, also that of zero."""
-    return (x < 0) | ((x == 0) & (F.atan2(F.lit(0.0), d(x)) != 0))
+    return (x < 0) | ((x == 0) & d(x).cast("string").startswith("-"))
 
 
 define_all("", {
