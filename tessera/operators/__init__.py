@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def rounded(value: str | Column, digits: int) -> Column:
+    """A double rounded as SQL's round does: halves of the scaled number go away from zero, not those of its decimal digits.
+
+    The value is named several times, so it should be a column of a lower projection or an aggregate.
+    """
+    x = F.col(value) if isinstance(value, str) else value
+    y = F.abs(x * 10.0**digits)
+    whole = F.rint(y) + F.when(y - F.rint(y) == 0.5, 1.0).otherwise(0.0)
+    return F.when(y < float("inf"), F.signum(x) * whole / 10.0**digits).otherwise(x)
+
+
 def lookup(df: DataFrame, pool: DataFrame, key: str, pool_key: str, columns: list[str]) -> DataFrame:
     """Enrich rows from a keyed pool; the pool is broadcast only if it is counted to be small, else Spark's joins decide."""
     side = pool.select(F.col(pool_key).alias("_key"), *columns)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import operators as ops
 from tessera.functions import LIBRARY as L
 from tessera.functions.numeric import determinant, inverse
 from tessera.plans.compiler import Engine, SemanticError, mark
@@ -107,3 +108,14 @@ def test_loops_take_their_steps(spark):
     assert [r.output for r in Engine(doc).score(df).collect()] == [0, 2, 198, 200, 202, 10_000]
     with pytest.raises(Exception, match="too many iterations"):
         Engine(doc, max_iterations=100).score(df).collect()
+
+
+def test_rounding_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    values = [0.5e-6, -0.5e-6, 2.5, -2.5, 0.0, -0.0, -1e-12, 1e300, -1e15 - 0.5, 0.49999999999999994, 1.0000005, float("inf"), float("nan"), None]
+    values += [(k + 0.5) / 1e9 + k / 7 for k in range(40_000, 60_000)]  # ties of the scaled number, not of its decimal digits
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double")
+    for digits in (0, 4, 6, 9):
+        got = [r.v for r in df.select("k", ops.rounded("v", digits).alias("v")).orderBy("k").collect()]
+        want = duckdb.execute(f"SELECT list(round(v, {digits})) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchone()[0]
+        assert [str(v) for v in got] == [str(v) for v in want]
