@@ -1,7 +1,7 @@
 """Probability distributions: densities as Column expressions, the others as vectorised functions.
 
 Distribution functions come from the incomplete gamma and beta functions (series and continued fractions over whole
-batches), quantiles from bisection on the distribution function.
+batches), quantiles from a bracketing search on the distribution function. Each distinct row of a batch is evaluated once.
 """
 
 from __future__ import annotations
@@ -48,26 +48,32 @@ def gamma_p(a, x):
     a, x = a[on], x[on]
     front = np.exp(a * np.log(x) - x - _lgamma(a)) if len(a) else a
     low = x < a + 1
-    term = np.where(low, 1 / np.where(a > 0, a, 1), 0)
+    near, far = np.flatnonzero(low), np.flatnonzero(~low)
+    value = np.empty(x.shape)
+    u, v = a[near], x[near]
+    term = 1 / np.where(u > 0, u, 1)
     series = term.copy()
     for n in range(1, 600):
-        term = term * x / (a + n)
-        series += np.where(low, term, 0)
-        if not len(term) or np.max(np.where(low, np.abs(term), 0)) < 1e-17:
+        term = term * v / (u + n)
+        series += term
+        if not len(term) or np.max(np.abs(term)) < 1e-17:
             break
+    value[near] = front[near] * series
     tiny = 1e-300
-    b = x + 1 - a
-    c, dd = np.full(x.shape, 1 / tiny), 1 / np.where(b == 0, tiny, b)
+    u, v = a[far], x[far]
+    b = v + 1 - u
+    c, dd = np.full(v.shape, 1 / tiny), 1 / np.where(b == 0, tiny, b)
     h = dd.copy()
     for n in range(1, 600):
-        an = -n * (n - a)
+        an = -n * (n - u)
         b = b + 2
         dd = 1 / np.where(np.abs(an * dd + b) < tiny, tiny, an * dd + b)
         c = np.where(np.abs(b + an / c) < tiny, tiny, b + an / c)
         h = h * dd * c
-        if not len(h) or np.max(np.where(low, 0, np.abs(dd * c - 1))) < 1e-16:
+        if not len(h) or np.nanmax(np.abs(dd * c - 1), initial=0) < 4e-16:  # a last place more or less is no progress
             break
-    out[on] = np.where(low, front * series, 1 - front * h)
+    value[far] = 1 - front[far] * h
+    out[on] = value
     return np.clip(out, 0, 1)
 
 
@@ -95,31 +101,78 @@ def beta_i(a, b, x):
     return np.clip(np.where(swap, 1 - value, value), 0, 1)
 
 
-def quantile(cdf, p, low, high, whole=False):
-    """The smallest x with cdf(x) >= p, by bisection; the upper end grows until it is enough."""
-    p = np.asarray(p, float)
-    lo, hi = np.full(p.shape, float(low)), np.full(p.shape, float(high))
-    for _ in range(900):
-        short = cdf(hi) < np.minimum(p, 1 - 1e-15)
-        if not short.any():
+def once_each(f):
+    """f of columns, evaluated once for each distinct row of them."""
+
+    def run(*columns):
+        columns = np.broadcast_arrays(*(np.asarray(c, float) for c in columns))
+        vary = [c for c in columns if c.size and not (c == c.flat[0]).all()]
+        if not columns[0].size or columns[0].ndim != 1:
+            return f(*columns)
+        if not vary:
+            first, back = np.zeros(1, int), np.zeros(len(columns[0]), int)
+        elif len(vary) == 1:
+            _, first, back = np.unique(vary[0], return_index=True, return_inverse=True)
+        else:
+            _, first, back = np.unique(np.stack(vary, 1), axis=0, return_index=True, return_inverse=True)
+        return np.asarray(f(*(c[first] for c in columns)))[np.ravel(back)]
+
+    return run
+
+
+def _grown(cdf, x, params, wrong, step):
+    """Ends of brackets, moved on by `step` where they are wrong."""
+    on = np.arange(len(x))
+    for _ in range(1100):
+        on = on[wrong(cdf(x[on], *(v[on] for v in params)), on)]
+        if not len(on):
             break
-        hi = np.where(short, hi * 2 + 1, hi)
+        x[on] = step(x[on])
+    return x
+
+
+def quantile(cdf, p, low, high, whole=False, params=()):
+    """The smallest x with cdf(x, *params) >= p; the upper end grows until it is enough. Whole numbers are bisected; others
+    go by inverse quadratic interpolation, where it may be trusted, else by bisection (Chandrupatla), until the ends of
+    the bracket are neighbours. Only rows that aren't done are evaluated.
+    """
+    p, *params = (np.array(v, float) for v in np.broadcast_arrays(*(np.atleast_1d(np.asarray(v, float)) for v in (p, *params))))
+    hi = _grown(cdf, np.full(p.shape, float(high)), params, lambda got, on: got < np.minimum(p[on], 1 - 1e-15), lambda x: x * 2 + 1)
     if low == -np.inf:
-        lo = -np.maximum(np.abs(hi), 1)
-        for _ in range(900):
-            long_ = cdf(lo) > p
-            if not long_.any():
-                break
-            lo = np.where(long_, lo * 2, lo)
-    for _ in range(1100):
-        mid = (lo + hi) / 2
-        if whole:
-            mid = np.floor(mid)
-        enough = cdf(mid) >= p
-        hi, lo = np.where(enough, mid, hi), np.where(enough, lo, mid + 1 if whole else mid)
-        if (lo >= hi).all() or not whole and (hi - lo <= 4e-16 * np.abs(hi)).all():
+        lo = _grown(cdf, -np.maximum(np.abs(hi), 1), params, lambda got, on: got > p[on], lambda x: x * 2)
+    else:
+        lo = np.full(p.shape, float(low))
+    on = np.arange(len(p))
+    if whole:
+        while len(on):
+            mid = np.floor((lo[on] + hi[on]) / 2)
+            enough = cdf(mid, *(v[on] for v in params)) >= p[on]
+            hi[on], lo[on] = np.where(enough, mid, hi[on]), np.where(enough, lo[on], mid + 1)
+            on = on[(lo[on] < hi[on]) & np.isfinite(hi[on])]
+        return hi
+    out, goal = hi.copy(), p
+    x1, x2 = lo, hi
+    f1, f2 = cdf(lo, *params) - p, np.maximum(cdf(hi, *params) - p, 0)
+    x3, f3, t = x2, f2, np.full(p.shape, 0.5)
+    for turn in range(1200):
+        x = x1 + t * (x2 - x1)
+        f = cdf(x, *params) - goal
+        same = (f >= 0) == (f1 >= 0)
+        x3, f3, x2, f2 = np.where(same, x1, x2), np.where(same, f1, f2), np.where(same, x2, x1), np.where(same, f2, f1)
+        stuck, x1, f1 = (x == x1) | (x == x2) | (x == x3), x, f
+        top = np.where(f1 >= 0, x1, x2)
+        out[on] = top
+        width = np.abs(x2 - x1)
+        more = ~((width <= 4e-16 * np.abs(top)) | stuck & (width <= 1e-15 * np.abs(top)) | ~(width > 0))
+        if not more.any():
             break
-    out = hi
+        on, goal, x1, x2, x3, f1, f2, f3, width, top, *params = (v[more] for v in (on, goal, x1, x2, x3, f1, f2, f3, width, top, *params))
+        with np.errstate(all="ignore"):
+            xi, phi = (x1 - x2) / (x3 - x2), (f1 - f2) / (f3 - f2)
+            t = f1 / (f2 - f1) * f3 / (f2 - f3) + (x3 - x1) / (x2 - x1) * f1 / (f3 - f1) * f2 / (f3 - f2)
+            trusted = (phi * phi < xi) & ((1 - phi) ** 2 < 1 - xi) & np.isfinite(t) & (turn < 60)
+            least = np.minimum(2e-16 * np.abs(top) / width, 0.5)
+        t = np.where(trusted, np.clip(t, least, 1 - least), 0.5)
     return out
 
 
@@ -177,6 +230,8 @@ _EDGES = {"gaussian": (-np.inf, np.inf), "cauchy": (-np.inf, np.inf), "t": (-np.
 
 
 def _cdf_udf(f):
+    f = once_each(f)
+
     @F.pandas_udf(T.DoubleType())
     def one(x: pd.Series, a: pd.Series) -> pd.Series:
         return pd.Series(f(x.to_numpy(float), a.to_numpy(float)))
@@ -202,8 +257,8 @@ def _quantile_of(name):
         if name == "binomial":
             edge_high = params[0]
         inner = np.clip(p, 1e-300, 1 - 1e-16)
-        out = CLOSED[name](inner, *params) if name in CLOSED else quantile(lambda x: cdf(x, *params), inner, low, 1.0, whole)
-        return np.where(p <= 0, edge_low, np.where(p >= 1, edge_high, out))
+        out = CLOSED[name](inner, *params) if name in CLOSED else quantile(once_each(cdf) if whole else cdf, inner, low, 1.0, whole, params)
+        return np.where(np.isnan(p), np.nan, np.where(p <= 0, edge_low, np.where(p >= 1, edge_high, out)))
 
     return f
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import operators as ops
 from tessera.functions import LIBRARY as L
+from tessera.functions import distributions
 from tessera.functions.numeric import determinant, inverse
 from tessera.plans.compiler import Engine, SemanticError, mark
 
@@ -119,3 +120,29 @@ def test_rounding_as_in_sql(spark):
         got = [r.v for r in df.select("k", ops.rounded("v", digits).alias("v")).orderBy("k").collect()]
         want = duckdb.execute(f"SELECT list(round(v, {digits})) FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchone()[0]
         assert [str(v) for v in got] == [str(v) for v in want]
+
+
+def test_quantiles_in_few_steps():
+    p = np.concatenate([np.linspace(0.001, 0.999, 997), [1e-12, 1 - 1e-12]])
+    for name, *params in (("chi2", 2.0), ("gamma", 30.0, 1.5), ("beta", 0.4, 0.3), ("f", 2.0, 4.0), ("t", 2.0), ("poisson", 500.0), ("hypergeometric", 8.0, 12.0, 9.0)):
+        cdf, low, whole = distributions.CDFS[name]
+        asked = []
+
+        def counted(x, *a, cdf=cdf, asked=asked):
+            asked.append(len(x))
+            return cdf(x, *a)
+
+        q = distributions.quantile(counted, p, low, 1.0, whole, params)
+        assert sum(asked) < 40 * len(p)  # bisection took 50 and more each
+        assert (cdf(q, *params) >= p - 1e-15).all()
+        below = q - 1 if whole else q - 1e-12 * np.abs(q)
+        assert (cdf(below, *params) < p + 1e-15).all()
+
+
+def test_equal_rows_of_a_batch_are_evaluated_once():
+    asked = []
+    f = distributions.once_each(lambda x, a: (asked.append(len(x)), x * a)[1])
+    x, nan = np.arange(1000.0) % 7, float("nan")
+    assert (f(x, np.full(1000, 3.0)) == x * 3).all() and (f(x, x % 2) == x * (x % 2)).all() and (f(x[:0], x[:0]) == x[:0]).all()
+    assert f(np.full(5, 2.0), np.full(5, 3.0)).tolist() == [6.0] * 5 and sum(asked[:2]) == 14
+    assert np.isnan(distributions._quantile_of("chi2")(np.array([nan, 0.5]), np.array([2.0, 2.0]))).tolist() == [True, False]
