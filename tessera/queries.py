@@ -420,8 +420,9 @@ def score_fold_max(spark, sf_dir):
 @register("online_moments", "SELECT l_returnflag, l_orderkey, l_linenumber, round(avg(l_quantity) OVER w, 6) AS mean, count(*) OVER w AS seen FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity ROWS UNBOUNDED PRECEDING)")
 def online_moments(spark, sf_dir):
     """Running moments of each key's rows in order."""
-    w = Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", ops.rounded(F.avg("l_quantity").over(w), 6).alias("mean"), F.count("*").over(w).alias("seen"))
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    out = ops.running_mean(lines, "l_returnflag", ["l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity"], "l_quantity")
+    return out.select("l_returnflag", "l_orderkey", "l_linenumber", ops.rounded("mean", 6).alias("mean"), "seen")
 
 
 @register("running_stats", "SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS count, round(avg(l_quantity), 6) AS mean, round(var_pop(l_quantity), 4) AS variance FROM lineitem GROUP BY 1")

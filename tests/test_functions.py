@@ -146,3 +146,18 @@ def test_equal_rows_of_a_batch_are_evaluated_once():
     assert (f(x, np.full(1000, 3.0)) == x * 3).all() and (f(x, x % 2) == x * (x % 2)).all() and (f(x[:0], x[:0]) == x[:0]).all()
     assert f(np.full(5, 2.0), np.full(5, 3.0)).tolist() == [6.0] * 5 and sum(asked[:2]) == 14
     assert np.isnan(distributions._quantile_of("chi2")(np.array([nan, 0.5]), np.array([2.0, 2.0]))).tolist() == [True, False]
+
+
+def test_running_means_in_blocks(spark):
+    rows = [(None if k % 11 == 0 else "ab"[k % 2], None if k % 97 == 0 else (k * 37) % 400, k, None if k % 5 == 0 else float(k % 9)) for k in range(2000)]
+    df = spark.createDataFrame(rows, "f string, o int, i int, x double")
+    out = ops.running_mean(df, "f", ["o", "i"], "x", rows=100)
+    seen, want = {}, {}
+    for f, o, i, x in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[2])):
+        n, m, total = seen.get(f, (0, 0, 0.0))
+        seen[f] = n, m, total = n + 1, m + (x is not None), total + (x or 0.0)
+        want[i] = (total / m if m else None, n)
+    assert {r.i: (r.mean, r.seen) for r in out.collect()} == want
+    number, n = ops.blocks(df, "o", 100)
+    sizes = [r["count"] for r in df.groupBy("f", number.alias("b")).count().collect()]
+    assert n > 15 and max(sizes) < 150  # a key's rows are in many groups, so in many tasks
