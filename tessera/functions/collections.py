@@ -283,15 +283,15 @@ def entries(m):
 
 
 def by_value(m, down=False, less=None):
-    """Keys by value, ties by key."""
-    values = F.transform(F.array_sort(F.map_keys(m)), lambda k: F.struct(F.element_at(m, k).alias("v"), k.alias("k")))
-    values = F.transform(values, lambda s: s)
-    ks = order(F.transform(values, lambda s: s["v"]), down, less)
-    return F.transform(ks, lambda k: at(values, k)["k"])
+    """Keys by value, ties by key; the map is evaluated once."""
+    less = less or (lambda x, y: x < y)
+    first = (lambda x, y: less(y, x)) if down else less
+    by = lambda x, y: F.when(first(x["value"], y["value"]), -1).when(first(y["value"], x["value"]), 1).otherwise(F.when(x["key"] < y["key"], -1).when(x["key"] > y["key"], 1).otherwise(0))
+    return F.transform(F.array_sort(F.map_entries(m), by), lambda e: e["key"])
 
 
 def merge(base, overlay):
-    return F.map_concat(F.map_filter(base, lambda k, v: ~F.map_contains_key(overlay, k)), overlay)
+    return let(overlay, lambda over: F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over))
 
 
 def from_entries(es):
@@ -308,9 +308,8 @@ _singles = lambda m: F.transform(F.map_keys(m), lambda k: F.map_from_arrays(F.ar
 
 def _joined(maps_of_entries):
     """One map of several, later keys win."""
-    es = F.flatten(maps_of_entries)
-    keys = F.array_distinct(F.transform(es, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)["value"]))
+    keyed = lambda es, keys: F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(es, lambda e: e["key"] == k), -1)["value"]))
+    return let(F.flatten(maps_of_entries), lambda es: let(F.array_distinct(F.transform(es, lambda e: e["key"])), lambda keys: keyed(es, keys)))
 
 
 def _zip_keys(args, with_key):

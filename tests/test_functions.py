@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import operators as ops
+from tessera import queries
 from tessera.functions import LIBRARY as L
 from tessera.functions import distributions
 from tessera.functions.numeric import determinant, inverse
@@ -161,3 +162,9 @@ def test_running_means_in_blocks(spark):
     number, n = ops.blocks(df, "o", 100)
     sizes = [r["count"] for r in df.groupBy("f", number.alias("b")).count().collect()]
     assert n > 15 and max(sizes) < 150  # a key's rows are in many groups, so in many tasks
+
+
+@pytest.mark.parametrize("query, column, step", [("fn_map", "update_", "map_concat("), ("fn_map", "join_", "flatten("), ("fn_map_sets", "zipmap", "map_from_arrays("), ("fn_map_sets", "flat_map_key", "flatten(")])
+def test_shared_maps_are_evaluated_once(spark, query, column, step):
+    plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001").select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(step) == 1  # as many as places that name it, before
