@@ -168,3 +168,23 @@ def test_running_means_in_blocks(spark):
 def test_shared_maps_are_evaluated_once(spark, query, column, step):
     plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001").select(column)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count(step) == 1  # as many as places that name it, before
+
+
+def test_matrices_of_a_batch_go_together(spark):
+    from tessera.functions import numeric
+
+    m = np.random.default_rng(5).normal(size=(50, 3, 3))
+    got = numeric._eigen_basis(m)  # one call for the batch
+    for a, basis in zip(m, got, strict=True):
+        values, vectors = np.linalg.eigh((a + a.T) / 2)
+        want = [np.abs(vectors[:, j]) / np.sqrt(values[j]) if values[j] > 0 else np.full(3, np.nan) for j in np.argsort(-values)]
+        assert np.allclose(np.abs(basis), want, equal_nan=True)
+    mixed = [([[4.0, 0.0], [0.0, 1.0]],), (None,), ([[9.0]],), ([[4.0, 0.0], [0.0, 1.0]],)]  # shapes differ, one is missing
+    df = spark.createDataFrame(mixed, "m array<array<double>>").coalesce(1)
+    assert [r.x for r in df.select(numeric.eigen_basis("m").alias("x")).collect()] == [[[0.5, 0.0], [0.0, 1.0]], None, [[1 / 3]], [[0.5, 0.0], [0.0, 1.0]]]
+
+
+@pytest.mark.parametrize("query, column, step, most", [("fn_linear", "linear", "array_sort(", 1), ("fn_linear", "tanimoto", "zip_with(", 1), ("fn_model", "iteration", "filter(", 1)])
+def test_models_walk_their_arrays_once(spark, query, column, step, most):
+    plan = queries.QUERIES[query](spark, "/root/testdata/sf0.001").select(column)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(step) <= most
