@@ -11,9 +11,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .collections import at, first_n, order, picks, size, total, upto
+from .collections import at, best_place, first_n, order, picks, size, total, upto
 from .numeric import dot, is_matrix
-from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam, trait
+from .registry import LIBRARY, Const, d, define_all, fail, guard, i, lam, let, trait
 
 
 def put(state, **fields) -> Column:
@@ -227,8 +227,7 @@ def reg_linear(x, m):
 def linear_variance(x, m):
     """x' C x with a leading one for the constant."""
     c = value_of(m)
-    full = F.concat(x, F.array(F.lit(1.0)))
-    return dot(full, F.transform(c["covar"], lambda r: dot(r, full)))
+    return let(F.concat(x, F.array(F.lit(1.0))), lambda full: dot(full, F.transform(c["covar"], lambda r: dot(r, full))))
 
 
 def gaussian_process(x, table, weight, kernel):
@@ -336,9 +335,9 @@ def nearest(x, items, where, metric, n=None):
 def kmeans_iteration(data, clusters, metric, update):
     """Each cluster updated with the points that it is closest to; empty clusters stay."""
     clusters = value_of(clusters)
-    numbered = F.transform(data, lambda x: F.struct(x.alias("x"), at(order(F.transform(clusters, lambda c: metric(x, c["center"]))), F.lit(0)).alias("k")))
-    mine = lambda k: F.transform(F.filter(numbered, lambda p: p["k"] == k), lambda p: p["x"])
-    return F.transform(clusters, lambda c, k: F.when(size(mine(k)) == 0, c).otherwise(update(mine(k), c)))
+    numbered = F.transform(data, lambda x: F.struct(x.alias("x"), best_place(F.transform(clusters, lambda c: metric(x, c["center"])), lambda a, b: a < b).alias("k")))
+    mine = lambda points, k: F.transform(F.filter(points, lambda p: p["k"] == k), lambda p: p["x"])
+    return let(numbered, lambda points: F.transform(clusters, lambda c, k: let(mine(points, k), lambda own: F.when(size(own) == 0, c).otherwise(update(own, c)))))
 
 
 def centroid(points) -> Column:
